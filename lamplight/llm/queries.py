@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.llm import bpe, chat, exact_dedup, mixing, sharding, topk, toxicity
+from lamplight.llm import bpe, chat, exact_dedup, licenses, mixing, sharding, topk, toxicity
 from lamplight.llm.common import read
 
 
@@ -51,6 +51,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans")).drop("spans")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+def _license_oracle() -> str:
+    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.NOTICES)
+    words = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+    return rf"""
+        WITH t(template_id, text) AS (VALUES {rows}),
+        tw AS (SELECT template_id, {words} AS w FROM t),
+        ts AS (SELECT DISTINCT template_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS h FROM tw),
+        tn AS (SELECT template_id, count(*) AS n_template FROM ts GROUP BY 1),
+        dw AS (SELECT doc_id, {words} AS w FROM documents),
+        ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos,
+                      unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS h FROM dw),
+        m AS (SELECT doc_id, template_id, count(DISTINCT h) AS n_found, CAST(min(pos) AS INTEGER) AS first_shingle, CAST(max(pos) AS INTEGER) AS last_shingle
+              FROM ds JOIN ts USING (h) GROUP BY 1, 2)
+        SELECT doc_id, template_id, n_found / n_template AS containment, n_found, n_template, first_shingle, last_shingle
+        FROM m JOIN tn USING (template_id) WHERE n_found >= 0.8 * n_template"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_sharding": op3_sharding,
@@ -59,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +115,5 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v r ON r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op9_licenses": _license_oracle(),
 }
