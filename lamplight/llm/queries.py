@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.llm import bpe, chat, exact_dedup, licenses, mixing, sharding, topk, toxicity
+from lamplight.llm import bpe, chat, ctw, exact_dedup, licenses, mixing, sharding, topk, toxicity
 from lamplight.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(read(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ def _license_oracle() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_ctw": op2_ctw,
     "op3_sharding": op3_sharding,
     "op4_chat": op4_chat,
     "op5_topk": op5_topk,
