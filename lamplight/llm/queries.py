@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.llm import bpe, chat, ctw, exact_dedup, licenses, mixing, sharding, topk, toxicity
+from lamplight.llm import bpe, chat, ctw, exact_dedup, licenses, mixing, near_dedup, sharding, topk, toxicity
 from lamplight.llm.common import read
 
 
@@ -76,6 +76,10 @@ def _license_oracle() -> str:
         FROM m JOIN tn USING (template_id) WHERE n_found >= 0.8 * n_template"""
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ctw": op2_ctw,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
