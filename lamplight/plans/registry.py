@@ -20,8 +20,15 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    load()
     return _ORACLES
+
+
+def load() -> None:
+    """Import all modules that register queries."""
+    from lamplight.plans import dialogue_queries  # noqa: F401
