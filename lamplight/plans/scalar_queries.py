@@ -94,8 +94,10 @@ _on_docs(
     lambda: F.when(F.length("text") > 100, F.size(F.split(F.trim(F.left("text", F.lit(100))), r"[ \n]+"))).otherwise(-1),
     r"CASE WHEN length(text) > 100 THEN CAST(len(string_split_regex(trim(left(text, 100)), '[ \n]+')) AS INTEGER) ELSE -1 END",
 )
-_on_docs("F14_normalized_text", lambda: S.normalized_quote(F.col("text")),
-    r"lower(trim(regexp_replace(replace(translate(translate(text, '‘’“”–— ', '''''""-- '), '*_`', ''), '…', '...'), '\s+', ' ', 'g')))")
+_FOLD = "text"
+for _from, _to in [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("\xa0", " "), ("*", ""), ("_", ""), ("`", ""), ("…", "...")]:
+    _FOLD = f"replace({_FOLD}, {_list([_from])}, {_list([_to])})"
+_on_docs("F14_normalized_text", lambda: S.normalized_quote(F.col("text")), rf"lower(trim(regexp_replace({_FOLD}, '\s+', ' ', 'g')))")
 _on_docs("F20_card_text", lambda: S.card_text(F.col("text")), r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))")
 _on_docs("F22_clip", lambda: S.clip(F.col("text"), 60), "CASE WHEN length(text) <= 60 THEN text ELSE rtrim(left(text, 59), ' ') || '…' END")
 _on_docs("M10_content_hash", lambda: F.sha2("text", 256), "sha256(text)")
@@ -143,10 +145,13 @@ register(
     lambda s, d: table(s, d, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"([a-z][a-z'\-]+)"), F.lit(1))).alias("word")).distinct(),
     r"SELECT DISTINCT source, unnest(regexp_extract_all(text, '[a-z][a-z''\-]+')) AS word FROM documents",
 )
+_PROTECTED = "text"
+for _a in L.ABBREVIATIONS:
+    _PROTECTED = f"replace({_PROTECTED}, '{_a}', '{_a[:-1]}' || chr(2))"
 register(
     "T06_sentences",
     lambda s, d: sentences(table(s, d, "documents")),
-    r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+    rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_PROTECTED}, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(replace(x, chr(2), '.'))), lambda x: x <> '') AS l FROM documents)
         SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS sentence FROM l""",
 )
 register(
