@@ -47,7 +47,9 @@ def d_norm(x: str) -> str:
 
 
 def d_bare(x: str) -> str:
-    flat = rf"lower(trim(regexp_replace(translate({x}, '‘’“”', '''''""'), '\s+', ' ', 'g')))"
+    for curly, straight in (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"')):
+        x = f"replace({x}, {_list([curly])}, {_list([straight])})"
+    flat = rf"lower(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
     return f"CASE WHEN ends_with({flat}, '''s') THEN substr({flat}, 1, length({flat}) - 2) ELSE {flat} END"
 
 
