@@ -2,10 +2,10 @@
 
 Every text's set of distinct four-word shingles gets a pool of MinHash values. A tree is the order of all texts by
 the pool read from the tree's own place on (round the end). Texts next to each other in a tree whose longest common
-prefix reaches DEPTH values are candidates. A crowded region, where many texts share a prefix, is read deeper: the
-order puts the longest common prefixes side by side, so first each text meets its neighbours and the head of its
-run, and only where a run still falls into several components are the pairs between them tried. All candidates are
-confirmed on full sets. Texts with equal sets are one class throughout, so copies are never expanded into pairs.
+prefix reaches DEPTH values are candidates; those with equal prefixes form a run, in order of the values that follow. The depth of the search
+adapts to the region: where all texts of a run link up with its head, that is all; where a run still falls into
+several components, the runs that share texts are joined to a region, whose sets meet once, in blocks, and every pair
+between components is tried there. All candidates are confirmed on full sets, and no pair is sent anywhere. Texts with equal sets are one class throughout, so copies are never expanded into pairs.
 
 With 40 trees of depth 6 a pair of similarity s shares a run with probability 1 - (1 - s^6)^40: 0.999995 at 0.8.
 """
@@ -24,6 +24,8 @@ from lamplight.llm.common import cut, join_groups
 
 SHINGLE, TREES, DEPTH = 4, 40, 6
 POOL = TREES * DEPTH
+#: Documents of a region that one task holds; larger regions are split, and their blocks meet two by two.
+REGION_BLOCK = 1500
 NO_ID = -(2**63)  # stands for a null id inside
 U = np.uint64
 
@@ -163,15 +165,43 @@ def _confirm(per_cent: int):
     return run
 
 
-def _screen(per_cent: int):
-    """Pairs whose signatures agree as often as they might at the threshold: six standard deviations below it."""
-    s = per_cent / 100
-    least = int(POOL * s - 6 * np.sqrt(POOL * s * (1 - s)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [int((np.frombuffer(a.as_buffer(), np.uint32) == np.frombuffer(b.as_buffer(), np.uint32)).sum()) >= least for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+def _link_region(per_cent: int):
+    """The documents of a region (or of two blocks of one) -> links between different components, as many as join
+    them. All pairs are counted exactly, through lists of the documents that hold a shingle; none is sent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        ids, part = table.column("id").to_numpy(), table.column("block").to_numpy()
+        known = table.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles").combine_chunks()] if table.num_rows else []
+        sizes = np.array([len(x) for x in sets], np.int64)
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(number, kind="stable")
+        lists, edges = owner[order], np.concatenate([[0], np.cumsum(np.bincount(number))])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for i in range(len(sets)):
+            if low != high and part[i] != low:
+                continue  # pairs inside a block are that block's own matter
+            mine = number[ends[i] : ends[i + 1]]
+            inter = np.bincount(np.concatenate([lists[edges[t] : edges[t + 1]] for t in mine.tolist()]), minlength=len(sets))
+            linked = 100 * inter >= per_cent * (sizes[i] + sizes - inter)
+            linked &= (part == high) if low != high else (np.arange(len(sets)) > i)
+            for j in np.flatnonzero(linked).tolist():
+                x, y = top(int(known[i])), top(int(known[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(min(ids[i], ids[j])), b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -197,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 80, block: int = REGION_BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when 100 * intersection >= per_cent * union of their sets of distinct four-word
@@ -215,42 +245,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = cut(trees.repartition("key").sortWithinPartitions("key", "after", "id").mapInArrow(_runs, "key long, id long, head long, before long"))
     members = runs.select("id").distinct()
     sets = cut(rows.join(classes.select("id").join(members, "id", "left_semi").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct())
-    pools = classes.select("id", "pool")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
-        two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-        with_both = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t")
-        return cut(with_both.mapInArrow(_confirm(per_cent), "a long, b long, linked boolean"))
-
-    # first each text with one head, then with all its heads and neighbours, as far as they are still apart
-    first = _pairs(runs.groupBy("id").agg(F.min("head").alias("y")).select(F.col("id").alias("x"), "y"))
-    tried = confirmed(first)
-    edges = tried.filter("linked").select("a", "b")
-    found = components(edges)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        left, right = (found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
-        at = pairs.join(left, "a", "left").join(right, "b", "left")
-        return at.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
-    near = runs.select(F.col("id").alias("x"), F.col("head").alias("y")).unionByName(runs.select(F.col("id").alias("x"), F.col("before").alias("y")))
-    more = confirmed(apart(_pairs(near)))
-    edges = cut(edges.unionByName(more.filter("linked").select("a", "b")))
-    tried = tried.unionByName(more)
+    # first each text with the smallest of its heads: most copies find their group at once
+    pairs = _pairs(runs.groupBy("id").agg(F.min("head").alias("y")).select(F.col("id").alias("x"), "y"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
+    tried = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_confirm(per_cent), "a long, b long, linked boolean")
+    edges = cut(tried.filter("linked").select("a", "b"))
     found = components(edges)
 
-    # then all pairs of a run that are still in different components
-    marked = runs.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")).distinct()
-    split = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    inside = cut(marked.join(split, "key", "left_semi"))
-    left, right = inside.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), inside.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    p, q = pools.select(F.col("id").alias("a"), F.col("pool").alias("p")), pools.select(F.col("id").alias("b"), F.col("pool").alias("q"))
-    likely = cut(rest.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_screen(per_cent), "a long, b long"))
-    last = confirmed(likely.distinct()).filter("linked").select("a", "b")
-    found = components(edges.unionByName(last))
+    # then the runs that still fall apart: those that share texts form a region, and a region's sets meet once
+    marked = runs.select("key", "id", "head").join(found, "id", "left").select("key", "id", "head", F.coalesce("component", "id").alias("component"))
+    split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    apart = cut(marked.join(split, "key", "left_semi"))
+    regions = components(apart.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()).withColumnRenamed("component", "region")
+    sizes = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = regions.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    labels = apart.groupBy("id").agg(F.min("component").alias("component"))
+    sent = (
+        placed.join(labels, "id").join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "component", "shingles")
+    )
+    more = sent.groupBy("region", "low", "high").applyInArrow(_link_region(per_cent), "a long, b long")
+    found = components(edges.unionByName(more))
 
     known = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "size")
     out = join_groups(marks.select("id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).alias("digest")), known, "digest", "size", "id", total)
