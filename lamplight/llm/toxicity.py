@@ -106,14 +106,15 @@ class Chain:
         return self.score(len(spots), found), spans
 
 
-def _distinct(docs: list[tuple[list[str], int]], edge: int = 8) -> list[tuple[list[str], int]]:
+def _distinct(sample: list[tuple[str, int]], edge: int = 8) -> list[tuple[str, int]]:
     """Without copies, exact or near: of texts that share their first or their last words one is kept, lest the
     words of a text that was copied often look typical."""
     seen, kept = set(), []
-    for words, label in docs:
+    for text, label in sample:
+        words = text.lower().split()
         ends = {("first", *words[:edge]), ("last", *words[-edge:])} if len(words) >= edge else {("all", *words)}
         if not ends & seen:
-            kept.append((words, label))
+            kept.append((text, label))
         seen |= ends
     return kept
 
@@ -208,7 +209,7 @@ def _fit_layer(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(sample: list[tuple[str, int]], totals: tuple[int, int]) -> Chain:
     """The model of a sample of (text, label) and the numbers of all labelled rows, clean and toxic. Without
     both labels there is nothing to tell apart: no word has features and all scores are one small constant."""
-    docs = _distinct([(LETTERS.findall(text.lower()), label) for text, label in sample])
+    docs = [(LETTERS.findall(text.lower()), label) for text, label in _distinct(sample)]
     have = Counter(label for _, label in docs)
     if not have[0] or not have[1]:
         return Chain()
