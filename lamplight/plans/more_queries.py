@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamplight.functions import lexicons as L
-from lamplight.operators import chunks, voice
+from lamplight.operators import chunks, excerpts, state, voice
+from lamplight.operators import register as coined
 from lamplight.plans.registry import register
 from lamplight.plans.scalar_queries import _on_docs
 from lamplight.plans.state_queries import CHAR, FIND, HIST, INTV, PHYS, characters, finding_rows, history, intervals, physical
-from lamplight.plans.views import table
+from lamplight.plans.views import CHAPTERS, chapters, table
 
 _on_docs("T01_front_matter", lambda: F.regexp_replace(F.concat(F.lit("---\ntitle: x\n---\n"), F.col("text")), r"(?s)\A\s*---\r?\n.*?\r?\n---\r?\n?", ""), "text")
 _on_docs("F21_cue_families", lambda: voice.cue_families(F.col("text")),
@@ -101,3 +102,31 @@ register("N19_parse_failed", lambda s, d: table(s, d, "events").agg(F.count_if(F
 register("N30_switches", lambda s, d: characters(s, d).select("slug", F.coalesce(F.col("died") > 5, ~(F.col("introduced") > 3)).alias("on")), f"WITH {CHAR} SELECT slug, coalesce(died > 5, NOT introduced > 3) AS \"on\" FROM ch")
 register("W07_context_lines", lambda s, d: intervals(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("chapter").orderBy("s", "e", "weight").rowsBetween(-2, 2))).groupBy("chapter").agg(F.sum("n").alias("n")),
     f"WITH {INTV}, c AS (SELECT chapter, count(*) OVER (PARTITION BY chapter ORDER BY s, e, weight ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM iv) SELECT chapter, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
+
+
+def _hyphened(s, d):
+    return table(s, d, "documents").select("doc_id", F.replace("text", F.lit(" the "), F.lit("-the-")).alias("content"))
+
+
+_TERMS = rf"""tx AS (SELECT doc_id, replace(text, ' the ', '-the-') AS content FROM documents),
+    fo AS (SELECT doc_id, lower(content) AS low, regexp_extract_all(regexp_extract(content, '^\s*(?:\S+\s+){{0,299}}\S+', 0), '[A-Za-z]+(?:-[A-Za-z]+)+') AS l FROM tx),
+    ex AS (SELECT doc_id, low, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM fo),
+    fi AS (SELECT doc_id, lower(term) AS term, min(pos) AS pos, any_value(low) AS low FROM ex WHERE NOT regexp_matches(term, '^[A-Z][a-z]*(?:-[A-Z][a-z]*)+$') AND lower(term) NOT IN ({", ".join(f"'{w}'" for w in coined.PLAIN_COMPOUNDS)}) GROUP BY 1, 2),
+    rk AS (SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS rank, CAST((length(low) - length(replace(low, term, ''))) // length(term) AS BIGINT) AS count FROM fi)"""
+register("W14_term_rank", lambda s, d: coined.coined_terms(_hyphened(s, d), "doc_id"),
+    f"WITH {_TERMS} SELECT doc_id, term, rank, count, CASE WHEN rank < 3 AND count >= 5 THEN 'high' WHEN rank < 5 THEN 'moderate' ELSE 'low' END AS severity FROM rk")
+register("Q05_register_overruns", lambda s, d: coined.overruns(coined.coined_terms(_hyphened(s, d), "doc_id"), "doc_id"),
+    f"WITH {_TERMS} SELECT doc_id, count(*) AS terms, CASE WHEN count(*) - 3 >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM rk GROUP BY 1 HAVING count(*) > 3")
+
+
+def chapter_hits(s, d):
+    """Three hits in every fifth chapter."""
+    rows = chapters(s, d).filter("chapter_number % 5 = 0").select("manuscript", "chapter_number")
+    return rows.selectExpr("manuscript", "chapter_number", "explode(array(0.1D, 0.5D, 0.9D)) AS position").withColumn("weight", F.round(F.col("position") * 10))
+
+
+register("Q14_excerpts", lambda s, d: excerpts.excerpts(chapters(s, d), chapter_hits(s, d), 20_000).select("manuscript", "chapter_number", F.length("excerpt").alias("chars")))
+register("R10_budget_shares", lambda s, d: state.allocate(chapter_hits(s, d).groupBy("manuscript", "chapter_number").agg(F.sum("weight").alias("w")), "manuscript", "chapter_number", "w", 20_000),
+    f"""WITH {CHAPTERS}, x AS (SELECT manuscript, chapter_number, 15.0::DOUBLE * 20000 / sum(15.0::DOUBLE) OVER (PARTITION BY manuscript) AS x FROM chapters WHERE chapter_number % 5 = 0),
+        f AS (SELECT *, floor(x) AS f, round(x - floor(x), 9) AS r FROM x), g AS (SELECT *, 20000 - sum(f) OVER (PARTITION BY manuscript) AS l, row_number() OVER (PARTITION BY manuscript ORDER BY r DESC, chapter_number) AS n FROM f)
+        SELECT manuscript, chapter_number, CAST(f + CASE WHEN n <= l THEN 1 ELSE 0 END AS BIGINT) AS share FROM g""")

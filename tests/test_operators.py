@@ -112,3 +112,17 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_excerpts(spark):
+    from lamplight.operators import excerpts
+
+    assert excerpts.merged([(3, 5), (0, 3), (8, 9), (4, 6)]) == [(0, 6), (8, 9)]
+    text = "".join(chr(97 + i % 26) for i in range(5000))
+    spans = excerpts.chosen(5000, [(3.0, 0.5), (1.0, 0.9)], 1000, radius=400)
+    assert sum(e - s for s, e in spans) == 1000 and (2100, 2900) in spans
+    assert excerpts.chosen(10, [(1.0, None)], 20) == [(0, 10)] and excerpts.chosen(0, [], 5) == []
+    chapters = spark.createDataFrame([("m", 1, text), ("m", 2, text)], "manuscript string, chapter_number int, content string")
+    hits = spark.createDataFrame([("m", 1, 3.0, 0.5), ("m", 2, 1.0, None), ("m", 2, 0.0, 0.1)], "manuscript string, chapter_number int, weight double, position double")
+    got = {r.chapter_number: len(r.excerpt.replace("\n[...]\n", "")) for r in excerpts.excerpts(chapters, hits, 4000).collect()}
+    assert got == {1: 3000, 2: 1000}
