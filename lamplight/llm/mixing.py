@@ -183,7 +183,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_hi", F.least(F.col("_before") + F.col("size"), (F.col("block") + 1) * block))
     )
     spans = (
-        pieces_of.join(slots, ["sid", "block"])
+        pieces_of.join(slots.hint("merge"), ["sid", "block"])  # the planner cannot see how many slots the ranges hold
         .withColumn("doc_from", F.col("_lo") - F.col("_before"))
         .withColumn("doc_to", F.least(F.col("_hi"), F.col("block") * block + F.col("take")) - F.col("_before"))
         .filter("doc_to > doc_from")
