@@ -282,16 +282,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = cut(tried.filter("linked").select("a", "b"))
     found = components(edges)
 
-    # then the runs that still fall apart: those that share texts form a region, and a region's sets meet once
-    marked = runs.select("key", "id", "head").join(found, "id", "left").select("key", "id", "head", F.coalesce("component", "id").alias("component"))
-    split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    apart = cut(marked.join(split, "key", "left_semi"))
-    regions = components(apart.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()).withColumnRenamed("component", "region")
-    sizes = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = regions.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    labels = apart.groupBy("id").agg(F.min("component").alias("component"))
+    # then the runs that still fall apart: components that share one form a region, and a region's sets meet once
+    marked = runs.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).distinct()
+    split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lo")
+    apart = cut(marked.join(split, "key").select("id", "component", "lo").distinct())
+    regions = components(apart.filter("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("region"))
+    labels = apart.select("id", "component").distinct().join(regions, "component")
+    sizes = labels.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = labels.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = (
-        placed.join(labels, "id").join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "component", "shingles")
     )
     more = sent.groupBy("region", "low", "high").applyInArrow(_link_region(per_cent), "a long, b long")
