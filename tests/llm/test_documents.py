@@ -341,3 +341,31 @@ def test_empty_tables(spark, none):
     assert licenses.license_scan(none).collect() == []
     assert near_dedup.near_dedup(none).collect() == []
     assert ctw.score_documents(none).collect() == []
+
+
+def test_licenses_of_all_kinds(spark):
+    from importlib.resources import files
+
+    whole = files("lamplight.llm").joinpath("license_texts")
+    gpl = whole.joinpath("GPL-3.0.txt").read_text(encoding="utf-8")
+    texts = {
+        1: "All rights reserved.",
+        2: "Some words first. Licensed under the MIT License. And more.",
+        3: "This work is licensed under the GNU General Public License, version 2.",
+        4: "See. Licensed under CC BY-SA 4.0, please",
+        5: gpl,
+        6: licenses.HEADERS[5][1],
+        7: "SPDX-License-Identifier: MIT",
+        8: "all of the rights were reserved",
+        9: LONG + " " + whole.joinpath("ISC.txt").read_text(encoding="utf-8"),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in licenses.license_scan(docs).collect():
+        got[r.doc_id].add(r.template_id)
+    assert got[1] == {"All-rights-reserved"} and got[2] == {"MIT-licensed-0"} and got[3] == {"GPL-2-licensed-0"}
+    assert got[4] == {"CC-BY-SA-4.0-licensed-0"} and got[5] == {"GPL-3.0-text"} and got[6] == {"AGPL-3.0-header"}
+    assert got[7] == {"MIT-spdx"} and 8 not in got and got[9] == {"ISC-text"}
+    own = spark.createDataFrame([("s", "the end")], "template_id string, text string")
+    twice = spark.createDataFrame([(1, "The end is near; the end."), (2, "the ending"), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.license_scan(twice, own).collect()] == [(1, "s", 1.0, 1, 1, 0, 4)]
