@@ -156,7 +156,7 @@ def _rep(p):
 
 
 _SC = "CASE {0} WHEN 'strength' THEN 1 WHEN 'concern' THEN -1 ELSE 0 END"
-register("J20_scorecard", lambda s, d: FN.scorecard(*[finding_rows(s, d).filter(f"finding_id % 2 = {p} AND finding_id % 3 = {p}").groupBy("dimension").agg(F.min_by("severity", F.struct(FN.rank_of(F.col("severity")), "finding_id")).alias("severity")) for p in (0, 1)], dims(s)),
+register("J20_scorecard", lambda s, d: FN.scorecard(*[finding_rows(s, d).filter(f"finding_id % 2 = {p}").groupBy("dimension").agg(F.min_by("severity", F.struct(FN.rank_of(F.col("severity")), "finding_id")).alias("severity")) for p in (0, 1)], dims(s)),
     f"WITH {FIND}, {DIMS} SELECT dimension, a.severity AS a, b.severity AS b, {_SC.format('b.severity')} - {_SC.format('a.severity')} AS delta FROM dm LEFT JOIN {_rep(0)} a USING (dimension) LEFT JOIN {_rep(1)} b USING (dimension)")
 register("J17_canon_refs", lambda s, d: finding_rows(s, d).withColumn("slug", F.concat(F.lit("c"), F.col("finding_id").cast("string"))).join(characters(s, d), "slug", "left").select("finding_id", "name", F.coalesce("name", F.lit("")).alias("counter")),
     f"WITH {FIND}, {CHAR} SELECT finding_id, name, coalesce(name, '') AS counter FROM fd LEFT JOIN ch ON slug = 'c' || finding_id")

@@ -1,6 +1,15 @@
 """Queries and operators that once read a part of their rows only."""
 
+import os
+
+import pandas as pd
+import pytest
+
 from lamplight.operators import quotes
+from lamplight.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
 
 
 def test_quotes_are_sought_in_all_chapters(spark):
@@ -14,3 +23,17 @@ def test_quotes_are_sought_in_all_chapters(spark):
     assert got[1] == got[2] == ("fuzzy", 1) and got[5] == ("none", None) and got[4] == ("fuzzy", 3)
     # ratios below 0.98 in both: the best one wins, though another is cited
     assert got[3] == ("fuzzy", max((1, 3), key=lambda n: quotes.best_window(near, {r.chapter_number: r.content.lower() for r in chapters.collect()}[n])))
+
+
+@tables
+def test_every_finding_is_in_one_report(spark):
+    ids = pd.read_parquet(f"{SMALL}/events.parquet", columns=["event_id"])["event_id"]
+    kind = lambda i: {0: "concern", 1: "strength"}.get(i % 5, "neutral")
+    rank = {"concern": 0, "neutral": 1, "strength": 2}
+    want = {}
+    for p in (0, 1):
+        for i in sorted(ids[ids % 2 == p]):
+            k = (f"dim{i % 15}", p)
+            want[k] = min(want.get(k, kind(i)), kind(i), key=rank.get)
+    got = registry.queries()["J20_scorecard"](spark, SMALL).collect()
+    assert {(r["dimension"], p): r["ab"[p]] for r in got for p in (0, 1) if r["ab"[p]]} == want
