@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamplight.functions import scalars as S
 from lamplight.operators import findings as FN
 from lamplight.operators import state as ST
+from lamplight.operators import vectors
 from lamplight.plans.registry import register
 from lamplight.plans.views import table
 
@@ -188,11 +188,9 @@ register("V02_nearest", lambda s, d: nearest(s, d),
 
 
 def nearest(s, d):
-    """Three questions against all vectors; a window keeps five of each."""
+    """Every fiftieth vector is a question to all vectors; five of each are kept."""
     e = table(s, d, "embeddings")
-    q = e.filter("vec_id < 3").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    rows = e.join(F.broadcast(q)).select("q_id", "vec_id", F.round(S.l2(F.col("q"), F.col("embedding")), 9).alias("distance"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "vec_id"))).filter("rank <= 5")
+    return vectors.nearest(e, e.filter("vec_id % 50 = 0"), 5)
 
 
 register("X_tumbling_window", lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n"),

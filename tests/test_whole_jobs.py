@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -37,3 +38,15 @@ def test_every_finding_is_in_one_report(spark):
             want[k] = min(want.get(k, kind(i)), kind(i), key=rank.get)
     got = registry.queries()["J20_scorecard"](spark, SMALL).collect()
     assert {(r["dimension"], p): r["ab"[p]] for r in got for p in (0, 1) if r["ab"[p]]} == want
+
+
+@tables
+def test_every_fiftieth_vector_is_asked(spark):
+    e = pd.read_parquet(f"{SMALL}/embeddings.parquet")
+    x, ids, want = np.array(e["embedding"].tolist(), np.float64), e["vec_id"].to_numpy(), {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        far = np.round(((x - x[i]) ** 2).sum(1), 9)
+        want |= {(int(ids[i]), n + 1): (int(ids[j]), float(far[j])) for n, j in enumerate(np.lexsort((ids, far))[:5])}
+    got = {(r["q_id"], r["rank"]): (r["vec_id"], r["distance"]) for r in registry.queries()["V02_nearest"](spark, SMALL).collect()}
+    assert len(want) > 15 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
