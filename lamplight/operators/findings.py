@@ -1,4 +1,4 @@
-"""Findings: citing, partition, ranking, ratings, dedupe and comparison."""
+"""Findings: citing, partition, ranking, ratings, dedupe and comparison."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Versioned story state, audits and interval algebra."""
+"""Versioned story state, audits and interval algebra."""
 
 from __future__ import annotations
 

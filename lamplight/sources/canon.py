@@ -1,4 +1,4 @@
-"""Story metadata from JSON folders: characters, voice cards, lexicons."""
+"""Story metadata from JSON folders: characters, voice cards, lexicons."""
 
 from __future__ import annotations
 
