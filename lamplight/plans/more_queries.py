@@ -120,8 +120,8 @@ register("Q05_register_overruns", lambda s, d: coined.overruns(coined.coined_ter
 
 
 def chapter_hits(s, d):
-    """Three hits in every fifth chapter."""
-    rows = chapters(s, d).filter("chapter_number % 5 = 0").select("manuscript", "chapter_number")
+    """Three hits in every chapter."""
+    rows = chapters(s, d).select("manuscript", "chapter_number")
     return rows.selectExpr("manuscript", "chapter_number", "explode(array(0.1D, 0.5D, 0.9D)) AS position").withColumn("weight", F.round(F.col("position") * 10))
 
 
