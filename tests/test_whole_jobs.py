@@ -72,3 +72,9 @@ def test_hits_are_in_every_chapter(spark):
     assert registry.queries()["Q14_excerpts"](spark, SMALL).count() == n
     shares = registry.queries()["R10_budget_shares"](spark, SMALL).toPandas()
     assert len(shares) == n and set(shares.groupby("manuscript")["share"].sum()) == {20_000}
+
+
+@tables
+def test_neighbour_sentences_are_whole(spark):
+    rows = registry.queries()["W06_neighbour_sentences"](spark, SMALL).collect()
+    assert any(len(part) > 20 for r in rows for part in r["around"].split("|"))
