@@ -1,9 +1,8 @@
-"""Near-duplicate documents by an LSH forest of MinHash signatures.
+"""Near-duplicate documents by bands of MinHash signatures, which have replaced an LSH forest.
 
-Every text's set of distinct four-word shingles gets a pool of MinHash values. A tree is the order of all texts by
-the pool read from the tree's own place on (round the end). Texts next to each other in a tree whose longest common
-prefix reaches DEPTH values are candidates; those with equal prefixes form a run, in order of the values that
-follow. The depth of the search adapts to the region: where all texts of a run link up with its head, that is all;
+Every text's set of distinct four-word shingles gets a pool of MinHash values. A tree is a band: the hash of DEPTH
+values of the pool from the tree's own place on. Texts with equal bands form a run, in order of the values that
+follow; longest common prefixes are not looked for. The search adapts to the region: where all texts of a run link up with its head, that is all;
 where a run still falls into several components, the runs that share texts are joined to a region, whose sets meet
 once, in blocks, and every pair between components is tried there. All candidates are confirmed on full sets, and no
 pair is sent anywhere. Texts with equal sets are one class throughout, so copies are never expanded into pairs.
