@@ -22,14 +22,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamplight.llm.common import pieces
+
 #: Unicode white space, as the tokenizer's patterns take it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: The same over lower-case Latin-1.
 CHUNK = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 END = "</w>"
-#: Words in a generation of those kept between batches.
-CACHE_WORDS = 150_000
+#: Bytes of keys and values in a generation of results kept between batches (the objects around them cost more).
+CACHE_BYTES = 6_000_000
+#: Pairs of tokens whose border is remembered.
+CACHE_PAIRS = 400_000
+#: Bytes of text that are encoded together; their results leave as one batch. A longer text stands alone.
+RUN_BYTES = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -40,22 +46,29 @@ def byte_letters() -> list[str]:
 
 
 class Generations:
-    """Results kept between batches. When the young are too many they become the old, and the old go; what is
-    asked for again turns young. So memory is bounded, and forgetting costs time but changes no result."""
+    """Results kept between batches. When the young are too large they become the old, and the old go; what is
+    asked for again turns young. So memory is bounded in bytes, whatever the length of a word, and forgetting costs
+    time but changes no result."""
 
     def __init__(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0
 
     def age(self) -> None:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+
+    def put(self, key: str | bytes, value: bytes) -> None:
+        self.young[key] = value
+        self.held += len(key) + len(value) + 16
 
     def missing(self, keys: set) -> set:
         """Those of the keys that neither generation has; found old ones turn young."""
         keys = keys - self.young.keys()
         again = keys & self.old.keys()
-        self.young.update((k, self.old[k]) for k in again)
+        for k in again:
+            self.put(k, self.old[k])
         return keys - again
 
 
@@ -79,9 +92,11 @@ class WordBPE:
         self.longest = max(len(t) - len(END) * t.endswith(END) for t in self.ids)
         self.letters = byte_letters()
         self.map = dict(enumerate(self.letters))
-        self.valid = {t for t in self.ids if self._own(t)}
-        self._fit: dict[tuple[str, str], bool] = {}
-        self.packed = {t: struct.pack("<I", i) for t, i in self.ids.items()}
+        #: Tokens that encode as themselves, by id; 0 and up.
+        self.valid = {t: i for t, i in self.ids.items() if self._own(t)}
+        self._fit: dict[int, bool] = {}  # by the left token's id, times 2^32, plus the right one's
+        self.packed = [struct.pack("<I", i) for i in range(max(self.names) + 1)]
+        self.size = [len(self.names.get(i, "")) for i in range(max(self.names) + 1)]
         self.named = [self.names.get(i, "").encode("utf-8") for i in range(max(self.names) + 1)]
         self.words: Generations = Generations()
         self.chunks: Generations = Generations()
@@ -102,18 +117,15 @@ class WordBPE:
             symbols = [*symbols[:best], symbols[best] + symbols[best + 1], *symbols[best + 2 :]]
         return symbols
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether left and right stay apart when their letters are encoded together.
 
         Undoing the merges on both sides of the border from the latest back: at each moment the two pieces at
         the border stood side by side, and had their pair a merge that comes before the merge which takes one
         of them away, BPE would have joined them.
         """
-        key = (left, right)
-        known = self._fit.get(key)
-        if known is None:
-            known = self._fit[key] = self._fits(left, right)
-        return known
+        found = self._fit[left << 32 | right] = self._fits(self.names[left], self.names[right])
+        return found
 
     def _fits(self, left: str, right: str) -> bool:
         never = 1 << 60
@@ -131,10 +143,10 @@ class WordBPE:
             else:
                 right, until_right = self.parts[right][0], b
 
-    def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """(word, tokens) of distinct words in sorted order; a word is a string of byte letters, not empty."""
-        valid, known, longest = self.valid, self._fit, self.longest
-        last: list[str] = [""]  # at each depth of the present path: the last token there
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, token ids) of distinct words in sorted order; a word is a string of byte letters, not empty."""
+        find, known, longest, size = self.valid.get, self._fit.get, self.longest, self.size
+        last: list[int] = [-1]  # at each depth of the present path: the last token there
         before = ""
         for word in sorted(words):
             n, shared, most = len(word), 0, min(len(word) - 1, len(before), len(last) - 1)
@@ -143,28 +155,28 @@ class WordBPE:
             del last[shared + 1 :]
             for i in range(shared + 1, n):
                 for j in range(i - longest if i > longest else 0, i):
-                    token = word[j:i]
-                    if token in valid:
+                    token = find(word[j:i])
+                    if token is not None:
                         if not j:
                             break
-                        fit = known.get((last[j], token))
+                        fit = known(last[j] << 32 | token)
                         if self.fits(last[j], token) if fit is None else fit:
                             break
                 last.append(token)
             marked = word + END
             for j in range(n - longest if n > longest else 0, n):
-                token = marked[j:]
-                if token in valid:
+                token = find(marked[j:])
+                if token is not None:
                     if not j:
                         break
-                    fit = known.get((last[j], token))
+                    fit = known(last[j] << 32 | token)
                     if self.fits(last[j], token) if fit is None else fit:
                         break
             tokens, at = [token], j
             while at:
                 token = last[at]
                 tokens.append(token)
-                at -= len(token)
+                at -= size[token]
             tokens.reverse()
             before = word
             yield word, tokens
@@ -172,9 +184,9 @@ class WordBPE:
     def learn(self, words: set[str]) -> None:
         """Encode words (as in the text) and keep the ids."""
         spelled = {w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.map): w for w in words}
-        packed, kept = self.packed.__getitem__, self.words.young
+        packed, put = self.packed.__getitem__, self.words.put
         for letters, tokens in self.encode_words(list(spelled)):
-            kept[spelled[letters]] = packed(tokens[0]) if len(tokens) == 1 else b"".join(map(packed, tokens))
+            put(spelled[letters], packed(tokens[0]) if len(tokens) == 1 else b"".join(map(packed, tokens)))
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens: composed, lower case letter by letter, white space dropped."""
@@ -196,13 +208,13 @@ class WordBPE:
                 out += self.split(part)
         return out
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Of each text the ids, as little-endian unsigned 32-bit integers, and the decoded text in UTF-8.
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text the ids, as little-endian unsigned 32-bit integers.
 
         A text in Latin-1 without special tokens is first cut at ASCII white space: neither composition nor a
         word reaches over it, so each such chunk is looked up on its own. Any other text is split as a whole.
         """
-        if len(self._fit) > 2_000_000:
+        if len(self._fit) > CACHE_PAIRS:
             self._fit.clear()
         for cache in (self.words, self.chunks):
             cache.age()
@@ -224,16 +236,15 @@ class WordBPE:
         words.update(*new.values())
         self.words.young.update((" " + t, struct.pack("<I", i)) for t, i in self.special.items())
         self.learn(self.words.missing(words))
-        ids, kept = self.words.young, self.chunks.young
+        ids = self.words.young
         for c, parts in new.items():
-            kept[c] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
+            self.chunks.put(c, ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts)))
         for known, parts in split:
-            packed = b"".join(map(known.__getitem__, parts))
-            yield packed, b" ".join(map(self.named.__getitem__, array("I", packed)))
+            yield b"".join(map(known.__getitem__, parts))
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces: the file names no decoder."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def decode(self, packed: bytes) -> bytes:
+        """The tokens of packed ids, joined by spaces (the file names no decoder), in UTF-8."""
+        return b" ".join(map(self.named.__getitem__, array("I", packed)))
 
 
 @lru_cache(maxsize=2)
@@ -241,46 +252,39 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def _groups(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of a bounded number of characters (a longer text stands alone)."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+def _encoded(path: str, digests: bool, decoded: bool):
+    """A run's ids (and texts) are made, sent on and forgotten before the next run begins."""
+    kind = pa.string() if digests else pa.binary()
 
+    def shown(value: bytes) -> bytes | str:
+        return hashlib.sha256(value).hexdigest() if digests else value
 
-def _encoded(path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for texts in _groups(["" if t is None else t for t in batch.column(1).to_pylist()]):
-                for packed, text in bpe.encode_texts(texts):
+            for part in pieces(batch, 1, RUN_BYTES):
+                counts, ids, said = [], [], []
+                for packed in bpe.encode_texts(["" if t is None else t for t in part.column(1).to_pylist()]):
                     counts.append(len(packed) // 4)
-                    ids.append(packed if full else hashlib.sha256(packed).hexdigest())
-                    decoded.append(text if full else hashlib.sha256(text).hexdigest())
-            kind = pa.binary() if full else pa.string()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, kind), pa.array(decoded, kind)], ["doc_id", "n_tokens", "ids", "decoded"]
-            )
+                    ids.append(shown(packed))
+                    if decoded:
+                        said.append(shown(bpe.decode(packed)))
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, kind)]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(said, kind)] if decoded else [])], ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])])
 
     return run
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids, decoded.
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, decoded: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids and, unless decoded=False, decoded.
 
     ids holds the token ids as little-endian unsigned 32-bit integers and decoded the UTF-8 text of those ids;
     with digests=True both are their SHA-256 in hex. A null text counts as empty and has no ids. Each row is
     encoded on its own, so repeated rows repeat their result; an empty table gives no rows; other columns of
-    docs are not read. A word of any length is one path in the trie.
+    docs are not read. A word of any length is one path in the trie. A worker holds one run of texts of RUN_BYTES (or
+    one longer text) with its results, and caches bounded in bytes.
     """
     kind = "string" if digests else "binary"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _encoded(path, not digests), f"doc_id long, n_tokens long, ids {kind}, decoded {kind}"
+        _encoded(path, digests, decoded), f"doc_id long, n_tokens long, ids {kind}" + f", decoded {kind}" * decoded
     )

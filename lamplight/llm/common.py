@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a local session writes to the warehouse
+    folder, which its one machine shares with itself; on a cluster that is an error, as no machine-local folder would do."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="lamplight-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lamplight-scratch"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,6 +62,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most rows of a side that is broadcast behind a count.
+BROADCAST_ROWS = 200_000
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """A table of a few short columns, to be broadcast where its rows are counted to be few; else left to a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def running_sums(df: DataFrame, order: list[str], value: str, group: str | None = None) -> DataFrame:
     """Global running sums without a global sort in one task.
 
@@ -64,7 +79,8 @@ def running_sums(df: DataFrame, order: list[str], value: str, group: str | None
     totals are prefix-summed, and a window inside each partition adds the rest. Adds `_before` (sum of value
     over the rows before this one, within the group) and `_row` (the row's number, from 0, within the group),
     and `_part`. Ties in the order may fall either way but are numbered once. The totals are one row per
-    partition and group that meets it, so they are bounded by the number of partitions plus groups.
+    partition and group that meets it, so they are bounded by the number of partitions plus groups, and counted before
+    they are broadcast.
     """
     spark = df.sparkSession
     keys = ([F.col(group).asc_nulls_last()] if group else []) + [F.col(c) for c in order]
@@ -85,24 +101,46 @@ def running_sums(df: DataFrame, order: list[str], value: str, group: str | None
     return (
         ranged.withColumn("_upto", F.sum(value).over(inside))
         .withColumn("_nth", F.row_number().over(inside))
-        .join(F.broadcast(bases), on)
+        .join(counted(bases), on)
         .withColumn("_before", F.col("_sum0") + F.col("_upto") - F.col(value))
         .withColumn("_row", F.col("_count0") + F.col("_nth") - 1)
         .drop("_p", "_g", "_sum0", "_count0", "_upto", "_nth")
     )
 
 
+#: Bytes of text that a Python worker takes at a time.
+PIECE_BYTES = 2_000_000
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most that many bytes in a column of strings (a longer one stands alone)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+LONG_KEY = 4096
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, row_id: str, total: int, heavy: int = 1000) -> DataFrame:
     """Left join of rows with groups on a string key, for keys that may hold a third of all rows.
 
-    A group with at least total / heavy rows is a heavy one: there are at most `heavy` of them, so that side
-    is broadcast with a proven bound. Rows of heavy groups get a key of their own for the shuffled join that
+    A group with at least total / heavy rows and a key of at most LONG_KEY characters is a heavy one: there are at most
+    `heavy` of them, so that side is broadcast with a proven bound. (The few groups with longer keys are left to the
+    shuffled join, whose large partitions can be split.) Rows of heavy groups get a key of their own for the shuffled join that
     serves all other groups, so no task gets more than the rows of a light group.
     """
     least = max(2, -(-total // heavy))
     columns = [c for c in groups.columns if c != key]
-    big = groups.filter(F.col(size) >= least).select(F.col(key).alias("_bk"), *[F.col(c).alias(f"_b_{c}") for c in columns])
-    small = groups.filter(F.col(size) < least).select(F.col(key).alias("_sk"), *[F.col(c).alias(f"_s_{c}") for c in columns])
+    heavy_one = (F.col(size) >= least) & (F.length(key) <= LONG_KEY)
+    big = groups.filter(heavy_one).select(F.col(key).alias("_bk"), *[F.col(c).alias(f"_b_{c}") for c in columns])
+    small = groups.filter(~heavy_one).select(F.col(key).alias("_sk"), *[F.col(c).alias(f"_s_{c}") for c in columns])
     found = rows.join(F.broadcast(big), F.col(key) == F.col("_bk"), "left")
     salted = F.when(F.col("_bk").isNotNull(), F.concat(F.lit("~"), F.col(row_id).cast("string"))).otherwise(F.col(key))
     found = found.withColumn("_jk", salted).join(small, F.col("_jk") == F.col("_sk"), "left")
