@@ -1,13 +1,19 @@
-"""Near-duplicate documents by bands of MinHash signatures, which have replaced an LSH forest.
-
-Every text's set of distinct four-word shingles gets a pool of MinHash values. A tree is a band: the hash of DEPTH
-values of the pool from the tree's own place on. Texts with equal bands form a run, in order of the values that
-follow; longest common prefixes are not looked for. The search adapts to the region: where all texts of a run link up with its head, that is all;
-where a run still falls into several components, the runs that share texts are joined to a region, whose sets meet
-once, in blocks, and every pair between components is tried there. All candidates are confirmed on full sets, and no
-pair is sent anywhere. Texts with equal sets are one class throughout, so copies are never expanded into pairs.
-
-With 40 trees of depth 6 a pair of similarity s shares a run with probability 1 - (1 - s^6)^40: 0.999995 at 0.8.
+"""Near-duplicate documents by an LSH forest over MinHash signatures.
+
+Every text's set of distinct four-word shingles gets a pool of MinHash values. A tree is an order of all texts: by a label
+of LABEL values, taken from the pool at the tree's own place on, 16 bits of each. Rows that follow one another in a
+tree's order are neighbours, and the values that their labels share from the beginning are their common prefix. A
+region is a run of rows that share a prefix. How deep its prefix is adapts to it: a region of SHALLOW values stays
+whole while it has at most SPARSE rows; one that is more crowded is split by its next value, and so on to DEPTH values.
+
+Candidates are neighbours inside a region. Each text tries the neighbour with the longest common prefix of all trees,
+and the one in the region that its copies would choose as well; most groups hang together after that. Where the texts
+of a region still fall into several components, its sets meet once, in blocks of bounded bytes, and every pair
+between components is counted there exactly; no pair is sent anywhere. All links are confirmed on full sets. Texts
+with equal sets are one class throughout, so copies are never expanded into pairs.
+
+A pair of similarity s shares a region of DEPTH values in one of the 40 trees with probability 1 - (1 - s^6)^40 at least:
+0.999995 at 0.8.
 """
 
 from __future__ import annotations
@@ -20,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import cut, join_groups
+from lamplight.llm.common import cut, join_groups, pieces
 
-SHINGLE, TREES, DEPTH = 4, 40, 6
+SHINGLE, TREES = 4, 40
+#: Values of a label; of the least and the greatest common prefix that makes a region; rows of a region that is not crowded.
+LABEL, SHALLOW, DEPTH, SPARSE = 8, 4, 6, 8
 POOL = TREES * DEPTH
-#: Documents of a region that one task holds; larger regions are split, and their blocks meet two by two.
-REGION_BLOCK = 1500
+#: Shingles of a region that one task holds (8 bytes each); larger regions are split, and their blocks meet two by two.
+REGION_BLOCK = 500_000
 NO_ID = -(2**63)  # stands for a null id inside
 U = np.uint64
 
@@ -106,74 +114,99 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def tree_keys(pool: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each tree's first DEPTH values."""
-    values = pool.reshape(TREES, DEPTH).astype(U)
-    with np.errstate(over="ignore"):
-        key = np.arange(1, TREES + 1, dtype=U) * U(0xD6E8FEB86659FD93)
-        for d in range(DEPTH):
-            key = (key ^ values[:, d]) * U(0x9E3779B97F4A7C15)
-            key ^= key >> U(31)
-    return key.view(np.int64)
+#: Places in the pool of each tree's label, and constants that keep the trees apart (they rename a tree's values).
+_PLACES = (np.arange(TREES)[:, None] * DEPTH + np.arange(LABEL)[None, :]) % POOL
+_TREE = np.random.default_rng(13).integers(0, 2**64, (2, TREES), dtype=U)
+
+
+def labels(pools: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of pools and each tree the label, as two numbers of four values of 16 bits, first value highest."""
+    values = (pools[:, _PLACES] & np.uint32(0xFFFF)).astype(U)
+    halves = [values[:, :, h] << U(48) | values[:, :, h + 1] << U(32) | values[:, :, h + 2] << U(16) | values[:, :, h + 3] for h in (0, 4)]
+    return halves[0] ^ _TREE[0], halves[1] ^ _TREE[1]
+
+
+def _shared(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Common values of two labels from the beginning, by the bits in which their halves differ."""
+    of = lambda x: (x < U(1 << 48)).astype(np.int8) + (x < U(1 << 32)) + (x < U(1 << 16)) + (x == 0)
+    return np.where(high == 0, 4 + of(low), of(high)).astype(np.int8)
 
 
-MARKS = "id long, n_shingles long, digest string, pool binary"
+MARKS = "id long, n_shingles long, digest string, pool binary, nameless boolean"
+
+
+def _digest(found: np.ndarray) -> str | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole, 1)):
         sizes, digests, pools = [], [], []
         for text in batch.column(1).cast(pa.large_binary()):
             found = shingle_set(text.as_py() or b"")
             sizes.append(len(found))
-            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None)
+            digests.append(_digest(found))
             pools.append(signature(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(pools, pa.binary())], ["id", "n_shingles", "digest", "pool"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(pools, pa.binary()), batch.column(2)], MARKS.replace(",", "").split()[::2])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class once for each tree: the key of its prefix and the next values of the tree's order."""
+    """Each class once for each tree, with its label there."""
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
+            high, low = labels(np.array([np.frombuffer(p.as_py(), np.uint32) for p in part.column(1)]))
             ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TREES)
-            pools = [np.frombuffer(p.as_py(), np.uint32) for p in part.column(1)]
-            keys = np.concatenate([tree_keys(p) for p in pools]) if pools else np.zeros(0, np.int64)
-            # the order within a run: the two values after the prefix, as one number
-            after = np.concatenate([(lambda r: (r[:, 0].astype(U) << U(31) | r[:, 1].astype(U) >> U(1)))(np.roll(p, -DEPTH).reshape(TREES, DEPTH)) for p in pools]) if pools else np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array((after >> U(1)).astype(np.int64)), pa.array(ids, pa.int64())], ["key", "after", "id"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key -> members of runs of two or more: key, id, head of the run and the neighbour before.
-    Heads have neither. One row is carried from batch to batch."""
-    last: tuple[int, int] | None = None  # key and id of the row before
-    head: int | None = None
-    shown = False
+            yield pa.RecordBatch.from_arrays([pa.array(high.ravel().view(np.int64)), pa.array(low.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["high", "low", "id"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of label -> the rows of regions of two or more: key of the region, id, neighbour before (the row's
+    own id where it is the first) and the length of their common prefix. What is held from batch to batch is SPARSE
+    rows on either side of a row, which tell whether its region is crowded."""
+    held = [np.zeros(0, np.int64)] * 3
+    done = 0  # rows of those held that have been told already
+
+    def tell(last: bool) -> pa.RecordBatch | None:
+        nonlocal held, done
+        n = len(held[0])
+        upto = n if last else n - SPARSE
+        if upto <= done:
+            return None
+        high, low, ids = held[0].view(U), held[1].view(U), held[2]
+        common = np.zeros(n + 1, np.int8)  # with the row before; none at the borders
+        common[1:n] = _shared(high[1:] ^ high[:-1], low[1:] ^ low[:-1])
+        depth = np.full(n, SHALLOW, np.int8)
+        for d in range(SHALLOW, DEPTH):
+            run = np.cumsum(common[:n] < d)
+            depth[(np.bincount(run)[run] > SPARSE) & (depth == d)] = d + 1
+        after = common[:n] >= depth  # it follows a row of its region
+        at = np.flatnonzero(after | (common[1:] >= depth))
+        at = at[at >= done]
+        at = at[at < upto]
+        with np.errstate(over="ignore"):
+            kept = np.where(depth == 4, U(0), low >> (U(16) * (U(LABEL) - np.maximum(depth, 5).astype(U))))
+            key = (high * U(0x9E3779B97F4A7C15)) ^ ((kept << U(3) | depth.astype(U)) * U(0xBF58476D1CE4E5B9))
+            key ^= key >> U(31)
+        before = np.where(after, np.concatenate([ids[:1], ids[:-1]]), ids)
+        out = pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(ids[at]), pa.array(before[at]), pa.array(common[at].astype(np.int32))], ["key", "id", "before", "common"])
+        left = max(0, upto - SPARSE)
+        held, done = [c[left:] for c in held], upto - left
+        return out
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        before_key = np.concatenate([[last[0] if last else ~key[0]], key[:-1]])
-        before_id = np.concatenate([[last[1] if last else 0], ids[:-1]])
-        same = key == before_key
-        run = np.cumsum(~same)
-        firsts = np.flatnonzero(~same)
-        heads = np.concatenate([[head if head is not None else 0], ids[firsts]])[run]
-        keys, members, tops, befores = [key[same]], [ids[same]], [heads[same]], [before_id[same]]
-        # heads of runs that have a second member in this batch
-        followed = firsts[(firsts + 1 < len(key)) & np.concatenate([same[1:], [False]])[firsts]] if len(firsts) else firsts
-        keys.append(key[followed]), members.append(ids[followed]), tops.append(ids[followed]), befores.append(ids[followed])
-        if same[0] and not shown:  # the head came last in the batch before
-            keys.append(key[:1]), members.append(np.array([head])), tops.append(np.array([head])), befores.append(np.array([head]))
-        head = int(heads[-1])
-        shown = bool(same[-1])
-        last = (int(key[-1]), int(ids[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, members, tops, befores)], ["key", "id", "head", "before"])
+        if batch.num_rows:
+            held = [np.concatenate([old, new.to_numpy(zero_copy_only=False)]) for old, new in zip(held, batch.columns, strict=True)]
+            found = tell(False)
+            if found is not None:
+                yield found
+    found = tell(True)
+    if found is not None:
+        yield found
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole, 1)):
         sets = [shingle_set(t.as_py() or b"").tobytes() for t in batch.column(1).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary())], ["id", "shingles"])
 
@@ -220,7 +253,9 @@ def _link_region(per_cent: int):
             if low != high and part[i] != low:
                 continue  # pairs inside a block are that block's own matter
             mine = number[ends[i] : ends[i + 1]]
-            inter = np.bincount(np.concatenate([lists[edges[t] : edges[t + 1]] for t in mine.tolist()]), minlength=len(sets))
+            longs = edges[mine + 1] - edges[mine]
+            holders = lists[np.repeat(edges[mine] - np.cumsum(longs) + longs, longs) + np.arange(int(longs.sum()))]
+            inter = np.bincount(holders, minlength=len(sets))
             linked = 100 * inter >= per_cent * (sizes[i] + sizes - inter)
             linked &= (part == high) if low != high else (np.arange(len(sets)) > i)
             for j in np.flatnonzero(linked).tolist():
@@ -261,34 +296,36 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles. component_id is the smallest doc_id reachable over links, itself included; kept marks that one. A
     null text counts as empty; texts without words have no shingles and no links; texts of one to three words
     are one shingle. Rows that share a doc_id are one document for linking; a null doc_id is smaller than
-    any. An empty table gives no rows. Other columns are not read. Shingles are compared by 64-bit hashes.
+    any (where one stands, it is one document with the least long). An empty table gives no rows. Other columns are
+    not read. Shingles are compared by 64-bit hashes.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known_id = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(known_id, F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"), known_id.isNull().alias("nameless"))
     marks = cut(rows.mapInArrow(_mark, MARKS))
-    total = marks.count()
-    classes = marks.filter("digest IS NOT NULL").groupBy("digest", "pool").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
-    classes = cut(classes)
-    trees = classes.select("id", "pool").mapInArrow(_trees, "key long, after long, id long")
-    runs = cut(trees.repartition("key").sortWithinPartitions("key", "after", "id").mapInArrow(_runs, "key long, id long, head long, before long"))
+    total, nameless = marks.agg(F.count(F.lit(1)), F.max("nameless")).first()
+    classes = cut(marks.filter("digest IS NOT NULL").groupBy("digest", "pool").agg(F.min("id").alias("id"), F.min("n_shingles").alias("shingles_in"), F.count(F.lit(1)).alias("size")))
+    trees = classes.select("id", "pool").mapInArrow(_trees, "high long, low long, id long")
+    runs = cut(trees.repartition("high").sortWithinPartitions("high", "low", "id").mapInArrow(_near, "key long, id long, before long, common int"))
     members = runs.select("id").distinct()
-    sets = cut(rows.join(classes.select("id").join(members, "id", "left_semi").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct())
+    sets = cut(rows.select("id", "text").join(members, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct())
 
-    # first each text with the smallest of its heads: most copies find their group at once
-    pairs = _pairs(runs.groupBy("id").agg(F.min("head").alias("y")).select(F.col("id").alias("x"), "y"))
+    # each text with the neighbour of the longest common prefix, and with its neighbour in the region of the least key
+    tried = runs.filter("before <> id").groupBy("id").agg(F.max(F.struct("common", "before")).alias("near"), F.min(F.struct("key", "before")).alias("chain"))
+    pairs = _pairs(tried.select(F.col("id").alias("x"), F.explode(F.array("near.before", "chain.before")).alias("y")))
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     tried = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_confirm(per_cent), "a long, b long, linked boolean")
     edges = cut(tried.filter("linked").select("a", "b"))
     found = components(edges)
 
-    # then the runs that still fall apart: components that share one form a region, and a region's sets meet once
+    # then the regions that still fall apart: components that share one are joined, and their sets meet once
     marked = runs.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).distinct()
     split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lo")
     apart = cut(marked.join(split, "key").select("id", "component", "lo").distinct())
     regions = components(apart.filter("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("region"))
-    labels = apart.select("id", "component").distinct().join(regions, "component")
-    sizes = labels.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = labels.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    held = apart.select("id", "component").distinct().join(regions, "component").join(classes.groupBy("id").agg(F.sum("shingles_in").alias("n")), "id")
+    sizes = held.groupBy("region").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    placed = held.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = (
         placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "component", "shingles")
@@ -297,11 +334,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(edges.unionByName(more))
 
     known = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "size")
-    out = join_groups(marks.select("id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).alias("digest")), known, "digest", "size", "id", total)
+    out = join_groups(marks.select("id", "n_shingles", "nameless", F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).alias("digest")), known, "digest", "size", "id", total)
     component = F.coalesce("component", "id")
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        F.when(~F.col("nameless"), F.col("id")).alias("doc_id"),
         "n_shingles",
-        F.when(component != NO_ID, component).alias("component_id"),
+        F.when(component != NO_ID, component).alias("component_id") if nameless else component.alias("component_id"),
         (F.col("id") == component).alias("kept"),
     )
