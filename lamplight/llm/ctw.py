@@ -7,11 +7,12 @@ of its own estimate and of the product of its children's. A byte's probability m
 along its context, each with the weight that the training text leaves it.
 
 How it is spread out. All that matters of a text are its grams: a byte with its context. Documents are dealt into
-blocks by id; a block sends its distinct grams, with their training counts, to buckets, which are chosen by the two
-nearest context bytes, so a bucket holds whole subtrees. Buckets sum the counts and build the subtrees; the top of
-the trees, of at most 257 * 255 nodes, is built from the buckets' sums. Each bucket then answers each block with
-the log probabilities of that block's grams, and the block adds them up by document. The words of the base model
-travel the same way. Nothing that grows with the corpus is broadcast or collected.
+blocks of about BLOCK_BYTES; a block sends its distinct grams, with their training counts, to buckets, which are
+chosen by the two nearest context bytes, so a bucket holds whole subtrees. Contexts of two bytes that hold more than
+a bucket's share of the corpus (at most HOT of them) are dealt out by three bytes instead. Buckets sum the counts and
+build the subtrees; the top of the trees, of at most (257 + HOT) * 255 nodes, is built from the buckets' sums. Each
+bucket then answers each block with the log probabilities of that block's grams, and the block adds them up by
+document. The words of the base model travel the same way. Nothing that grows with the corpus is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from lamplight.llm.common import cut, is_fold
 
 DEPTH = 5
 END = 0xFF  # no byte of UTF-8
-BLOCK_DOCS = 8192
+#: Text of a block, but for its last document, and most contexts of two bytes that are dealt out by three.
+BLOCK_BYTES, HOT = 24_000_000, 256
 LN10 = float(np.log(10.0))
 U = np.uint64
 
@@ -137,19 +139,24 @@ class Subtree:
                 keys, counts = _summed(shorter(keys), counts)
 
     def ones(self, d: int, node: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Probability of a one at depth d, given that of the child. A node never seen knows nothing: one half,
-        mixed evenly with the child's, which is one half too."""
-        known, estimate, weight = self.levels[d]
-        if not len(known):
-            return np.full(len(node), 0.5)
-        at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-        hit = known[at] == node
-        w = weight[at]
-        return np.where(hit, w * estimate[at] + (1.0 - w) * deeper, 0.5)
-
-
-def predict(keys: np.ndarray, tree: Subtree, roof: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram. roof[d]: for depths 0 and 1 the (estimate, weight) of each (byte, node)."""
+        return _ones(self.levels[d], node, deeper)
+
+
+def _ones(level: tuple[np.ndarray, np.ndarray, np.ndarray], node: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+    """Probability of a one at a depth, given that of the child. A node never seen knows nothing: one half,
+    mixed evenly with the child's, which is one half too."""
+    known, estimate, weight = level
+    if not len(known):
+        return np.full(len(node), 0.5)
+    at = np.minimum(np.searchsorted(known, node), len(known) - 1)
+    hit = known[at] == node
+    w = weight[at]
+    return np.where(hit, w * estimate[at] + (1.0 - w) * deeper, 0.5)
+
+
+def predict(keys: np.ndarray, tree: Subtree, roof: np.ndarray, eaves: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 probability of each gram. roof[d]: for depths 0 and 1 the (estimate, weight) of each (byte, node). eaves:
+    the nodes of depth 2, with estimates and weights, for trees that begin at depth 3."""
     out = np.zeros(len(keys))
     value = keys & U(255)
     for k in range(8):
@@ -160,6 +167,9 @@ def predict(keys: np.ndarray, tree: Subtree, roof: np.ndarray) -> np.ndarray:
         for d in range(tree.depth, tree.top - 1, -1):
             one = tree.ones(d, (context << U(8)) | number, one)
             context = context >> U(8)
+        if tree.top == 3:
+            one = _ones(eaves, (context << U(8)) | number, one)
+            context = context >> U(8)
         if roof is not None:
             for d in (1, 0):  # context now holds the nearest byte, then nothing
                 at = (context.astype(np.int64) if d else np.zeros(len(keys), np.int64), number.astype(np.int64))
@@ -188,6 +198,18 @@ def build_roof(near: np.ndarray, number: np.ndarray, zero: np.ndarray, one: np.n
     return out
 
 
+def build_eaves(context: np.ndarray, number: np.ndarray, zero: np.ndarray, one: np.ndarray, product: np.ndarray):
+    """Nodes of depth 2 from sums over depth 3, one row for each context and node number -> the sorted nodes with their
+    estimates and weights, and the rows that they are for build_roof."""
+    node = (context.astype(U) << U(8)) | number.astype(U)
+    order = np.argsort(node)
+    node, zero, one, product = node[order], zero[order], one[order], product[order]
+    own = log_kt(zero, one)
+    weighted = np.logaddexp(own, product) - np.log(2.0)
+    level = (node, (one + 0.5) / (zero + one + 1.0), np.exp(np.minimum(own - np.log(2.0) - weighted, 0.0)))
+    return level, ((node >> U(16)).astype(np.int64), (node & U(255)).astype(np.int64), zero, one, weighted)
+
+
 # --- packing ---------------------------------------------------------------------------------------------------
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -211,12 +233,28 @@ def _unpack(packed: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), kind)
 
 
-def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
-    near = (keys >> U(8 * DEPTH - 8)).astype(U)  # the two nearest context bytes
+def _hot(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which grams are dealt out by three context bytes."""
+    return np.isin((keys >> U(8 * DEPTH - 8)).astype(np.int64), hot)
+
+
+def _buckets(keys: np.ndarray, n: int, hot: np.ndarray) -> np.ndarray:
+    near = np.where(_hot(keys, hot), (keys >> U(8 * DEPTH - 16)) | U(1 << 32), keys >> U(8 * DEPTH - 8))
     with np.errstate(over="ignore"):
         return (((near * U(0x9E3779B97F4A7C15)) >> U(33)) % U(n)).astype(np.int64)
 
 
+def _two_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each two bytes follow each other in a partition's texts, nearer byte first."""
+    counts = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for text in batch.column(0).cast(pa.large_binary()):
+            data = np.frombuffer((text.as_py() or b"").lower() + b" ", np.uint8).astype(np.uint16)
+            counts += np.bincount(data[1:] << np.uint16(8) | data[:-1], minlength=1 << 16)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["context", "n"])
+
+
 # --- the three steps -------------------------------------------------------------------------------------------
 
 def _runs(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -234,7 +272,7 @@ def _runs(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int, list
 _SENT = "block int, bucket int, kind string, keys binary, counts binary, total long"
 
 
-def _send(buckets: int):
+def _send(buckets: int, hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         train = np.array(table.column("train").to_pylist(), bool)
@@ -259,7 +297,7 @@ def _send(buckets: int):
         ends = int(train.sum())
         keys, counts = _summed(np.concatenate(keys_of), np.concatenate(counts_of)) if keys_of else (np.zeros(0, U), np.zeros(0, np.int64))
         rows = []
-        place = _buckets(keys, buckets)
+        place = _buckets(keys, buckets, hot)
         order = np.argsort(place, kind="stable")
         edges = np.searchsorted(place[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -290,21 +328,30 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return keys, counts, parts
 
 
-def _tops(table: pa.Table) -> pa.Table:
-    """Of a bucket's subtrees, by nearest byte and node number: counts, and the product of the depth-2 nodes."""
-    keys, counts, _ = _merged(table)
-    tree = Subtree(keys, counts)
-    node = tree.levels[2][0]
-    group = ((node >> U(16)) << U(8)) | (node & U(255))
-    ids, inverse = np.unique(group, return_inverse=True)
-    sums = [np.bincount(inverse, weights=v, minlength=len(ids)) for v in (tree.zero, tree.one, tree.weighted)]
-    return pa.table({"near": pa.array((ids >> U(8)).astype(np.int32)), "number": pa.array((ids & U(255)).astype(np.int32)), "zero": sums[0], "one": sums[1], "product": sums[2]})
+TOPS = "depth int, near int, number int, zero double, one double, product double"
+
+
+def _tops(hot: np.ndarray):
+    """Of a bucket's subtrees, by the context above and node number: counts, and the product of the top nodes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts, _ = _merged(table)
+        split, out = _hot(keys, hot), []
+        for top, mine in ((2, ~split), (3, split)):
+            tree = Subtree(keys[mine], counts[mine], top=top)
+            node = tree.levels[top][0]
+            ids, inverse = np.unique(shorter(node), return_inverse=True)
+            sums = [np.bincount(inverse, weights=v, minlength=len(ids)).astype(np.float64) for v in (tree.zero, tree.one, tree.weighted)]
+            out.append(pa.table({"depth": pa.array(np.full(len(ids), top - 1, np.int32)), "near": pa.array((ids >> U(8)).astype(np.int32)), "number": pa.array((ids & U(255)).astype(np.int32)), "zero": sums[0], "one": sums[1], "product": sums[2]}))
+        return pa.concat_tables(out)
+
+    return run
 
 
 _ANSWER = "block int, bucket int, kind string, keys binary, found binary, total long"
 
 
-def _answers(roof: np.ndarray):
+def _answers(roof: np.ndarray, eaves: tuple, hot: np.ndarray):
     names = [x.split()[0] for x in _ANSWER.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
 
@@ -314,7 +361,9 @@ def _answers(roof: np.ndarray):
         asked = table.column("keys").to_pylist()
         if kind == "gram":
             keys, counts, parts = _merged(table)
-            value = predict(keys, Subtree(keys, counts), roof).astype(np.float32)
+            value, split = np.zeros(len(keys), np.float32), _hot(keys, hot)
+            for top, mine in ((2, ~split), (3, split)):
+                value[mine] = predict(keys[mine], Subtree(keys[mine], counts[mine], top=top), roof, eaves)
             for block, packed, part in zip(blocks, asked, parts, strict=True):
                 rows.append((block, bucket, kind, packed, value[np.searchsorted(keys, part)].tobytes(), 0))
         else:
@@ -379,7 +428,7 @@ def _score(known_words: int, train_tokens: int, ends: int):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte.
 
@@ -389,19 +438,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat count and are scored each; equal texts score alike. With no training rows every bit has
     probability one half. An empty table gives no rows. Other columns are not read.
     """
-    n = docs.count()
-    blocks = max(1, -(-n // block_docs))
+    pairs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_two_bytes, "context int, n long").groupBy("context").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
+    blocks = max(1, -(-int(pairs["n"].sum()) // block_bytes))
     buckets = max(16, blocks)
+    often = pairs[pairs["n"] * buckets > pairs["n"].sum()].sort_values(["n", "context"], ascending=[False, True])
+    hot = np.sort(often["context"].to_numpy(np.int64)[:HOT])
     held = is_fold(id_col, 5, 1)
     # documents of one id are spread as well, by the text's own checksum
     block = F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), (~held).alias("train"), F.col(text_col).cast("string").alias("text"))
-    sent = cut(rows.select("block", "train", "text").groupBy("block").applyInArrow(_send(buckets), _SENT))
-    tops = sent.filter("kind = 'gram'").groupBy("bucket").applyInArrow(_tops, "near int, number int, zero double, one double, product double")
-    # at most 256 * 255 rows, whatever the input
-    top = tops.groupBy("near", "number").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "product")]).orderBy("near", "number").toPandas()
-    roof = build_roof(top["near"].to_numpy(np.int64), top["number"].to_numpy(np.int64), top["zero"].to_numpy(), top["one"].to_numpy(), top["product"].to_numpy())
-    answers = cut(sent.filter("kind <> 'ends'").groupBy("kind", "bucket").applyInArrow(_answers(roof), _ANSWER))
+    sent = cut(rows.select("block", "train", "text").groupBy("block").applyInArrow(_send(buckets, hot), _SENT))
+    tops = sent.filter("kind = 'gram'").groupBy("bucket").applyInArrow(_tops(hot), TOPS)
+    # at most (256 + HOT) * 255 rows, whatever the input
+    top = tops.groupBy("depth", "near", "number").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "product")]).orderBy("depth", "near", "number").toPandas()
+    of = lambda d: [top.loc[top["depth"] == d, c].to_numpy(t) for c, t in (("near", np.int64), ("number", np.int64), ("zero", None), ("one", None), ("product", None))]
+    eaves, above = build_eaves(*of(2))
+    roof = build_roof(*[np.concatenate(c) for c in zip(of(1), above, strict=True)])
+    answers = cut(sent.filter("kind <> 'ends'").groupBy("kind", "bucket").applyInArrow(_answers(roof, eaves, hot), _ANSWER))
     told = {r["kind"]: int(r["n"] or 0) for r in sent.groupBy("kind").agg(F.sum("total").alias("n")).collect()}
     distinct = answers.filter("kind = 'word'").select("bucket", "total").distinct().agg(F.sum("total")).first()[0] or 0
     ends = told.get("ends", 0)
