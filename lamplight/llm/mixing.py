@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import WORD, running_sums, shuffle_parts
+from lamplight.llm.common import WORD, counted, running_sums, shuffle_parts
 
 BLOCK_WORDS, SHARDS, SEED = 256, 64, 7
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -131,24 +131,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document that a slot takes.
 
     A null text has no words. Sources are told apart as they are; null is a source of its own, last in order.
-    Documents without words are in no span. Equal rows are documents of their own. An empty table gives no
-    rows. The table of sources goes through the driver: one row each, whatever the number of documents.
+    Documents without words are in no span. Equal rows are documents of their own; rows of one id go by size and then
+    by a hash of what they hold, so reruns agree. An empty table gives no rows. The table of sources goes through the
+    driver: one row each, whatever the number of documents.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("_source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col), *[F.col(c).cast("string") for c in keep if c != text_col]).alias("_tie"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
-    summed = running_sums(rows, ["doc_id", "size"], "size", group="_source")
+    summed = running_sums(rows, ["doc_id", "size", "_tie"], "size", group="_source").drop("_tie")
     sizes = [(r[0], r[1]) for r in summed.groupBy("_source").agg(F.sum("size")).collect()]
     made = plan(sizes, block, shards, seed)
     table = spark.createDataFrame(
         [(s["sid"], s["source"], s["source_size"], float(s["target"])) for s in made["sources"]],
         "sid int, _name string, source_size long, target double",
     )
-    documents = summed.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name", "_source", "_part")
+    documents = summed.join(counted(table), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name", "_source", "_part")
 
     ranges = []
     if made["draws"] is not None:
@@ -203,7 +205,8 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix is made of, with the columns of docs: a document comes once for each pass
-    that takes words of it, with the words taken, in their order. One that a pass takes whole keeps its text."""
+    that takes words of it, with the words taken, in their order. One that a pass takes whole keeps its text as it is;
+    of one taken in part the words come joined by single blanks."""
     columns = docs.columns
     documents, _, spans = mix(docs, keep=tuple(columns), **how)
     parts = spans.groupBy("sid", "_row", "epoch").agg(F.array_sort(F.collect_list(F.struct("doc_from", "doc_to"))).alias("parts"))
