@@ -216,7 +216,7 @@ def brute_components(rows, per_cent=80):
     return label, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [1500, 3])
+@pytest.mark.parametrize("block", [500_000, 200])
 def test_near_dedup(spark, docs, block):
     import random
 
@@ -238,6 +238,47 @@ def test_near_dedup(spark, docs, block):
         assert (r.component_id, r.n_shingles, r.kept) == (label[r.doc_id], sizes[r.doc_id], r.doc_id == label[r.doc_id]), r.doc_id
 
 
+def test_forest_finds_pairs_at_the_threshold(spark):
+    """Recall of the candidates, measured on pairs of sets whose similarity is 0.8 or just above."""
+    import numpy as np
+
+    rng, found, n = np.random.default_rng(8), 0, 300
+    for _ in range(n):
+        sets = rng.integers(0, 2**64, 110, dtype=np.uint64)
+        pools = np.array([near_dedup.signature(np.sort(sets[:99])), near_dedup.signature(np.sort(sets[11:]))])  # 88 of 110
+        high, low = near_dedup.labels(pools)
+        found += bool((near_dedup._shared(high[0] ^ high[1], low[0] ^ low[1]) >= near_dedup.DEPTH).any())
+    assert found >= 0.99 * n
+
+
+def test_regions_of_the_forest():
+    """Rows in order -> regions, in batches of any size, against the definition by whole tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2, (900, 8)) * rng.integers(0, 2, (900, 1)) + rng.integers(0, 3, (900, 8)) * (rng.random((900, 8)) < 0.2)
+    values[:, :3] = 7
+    values = values[np.lexsort(values.T[::-1])]
+    halves = [sum(values[:, h + i].astype(np.uint64) << np.uint64(48 - 16 * i) for i in range(4)) for h in (0, 4)]
+    want = set()
+    for d in (4, 5, 6):
+        groups = defaultdict(list)
+        for i, v in enumerate(values.tolist()):
+            groups[tuple(v[:d])].append(i)
+        for prefix, rows in groups.items():
+            above = [len([1 for v in values.tolist() if tuple(v[:e]) == prefix[:e]]) for e in range(4, d)]
+            if all(n > near_dedup.SPARSE for n in above) and (d == 6 or len(rows) <= near_dedup.SPARSE) and len(rows) > 1:
+                want |= {(prefix, i, rows[max(0, k - 1)]) for k, i in enumerate(rows)}
+    for size in (1, 7, 100, 2000):
+        columns = [pa.array(halves[0].view(np.int64)), pa.array(halves[1].view(np.int64)), pa.array(np.arange(900))]
+        batches = pa.RecordBatch.from_arrays(columns, ["high", "low", "id"])
+        out = [r for b in near_dedup._near(iter([batches.slice(i, size) for i in range(0, 900, size)])) for r in b.to_pylist()]
+        assert {(r["id"], r["before"]) for r in out} == {(i, b) for _, i, b in want} and len(out) == len(want)
+        keys = {p: {r["key"] for r in out if (p, r["id"], r["before"]) in want} for p, *_ in want}
+        assert all(len(k) == 1 for k in keys.values()) and len({next(iter(k)) for k in keys.values()}) == len(keys)
+
+
 def brute_ctw(train, text, depth):
     """Context-tree weighting by recursion over the bits of every training byte."""
     counts = defaultdict(lambda: [0, 0])
@@ -286,10 +327,13 @@ def brute_ctw(train, text, depth):
     return total
 
 
-def test_ctw(spark, docs):
+@pytest.mark.parametrize("most", [256, 3, 0])
+def test_ctw(spark, docs, monkeypatch, most):
+    """Whether contexts are dealt out by two bytes or by three makes no difference."""
+    monkeypatch.setattr(ctw, "HOT", most)
     rows = [(r[0], r[1]) for r in awkward() if r[1] is None or len(r[1]) < 6000]
     table = spark.createDataFrame([(i, t, 1, True) for i, t in rows], "doc_id long, text string, block int, train boolean")
-    got = ctw.score_documents(table, block_docs=7).collect()
+    got = ctw.score_documents(table, block_bytes=2000).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     streams = {t: ctw.stream((t or "").encode()) for _, t in rows}
     tokens = Counter()

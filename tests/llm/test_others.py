@@ -27,11 +27,15 @@ def test_chat(spark):
         assert got[c].n_turns == len(rows)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in rows).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    whole = chat.full_examples(frame.filter("conv_id < 9")).collect()
-    assert sum(len(r.text) for r in whole if r.conv_id == 1) == got[1].formatted_chars
-    first = next(r for r in whole if r.conv_id == 1 and r.example == 1)
-    assert chat.unescape(first.text[first.loss_start : first.loss_end]) == ""
-    assert [t for t in chat.parse_turns(first.text)][0] == ("user", "hi <|end|> <! <!| <<|turn|>")
+    whole = chat.chat_examples(frame).collect()
+    for c, rows in by.items():
+        mine = sorted((r for r in whole if r.conv_id == c), key=lambda r: r.example)
+        replies = [i for i, (*_, role, _) in enumerate(rows) if role == "assistant"]
+        ends = replies + ([len(rows) - 1] if not replies or replies[-1] < len(rows) - 1 else [])
+        assert [chat.parse_turns(r.text) for r in mine] == [[x[2:] for x in rows[: e + 1]] for e in ends]
+        assert [r.example for r in mine] == list(range(len(ends)))
+        assert [chat.unescape(r.text[r.loss_start : r.loss_end]) if r.trainable else None for r in mine] == [rows[e][3] if e in replies else None for e in ends]
+        assert got[c].formatted_chars == sum(len(r.text) for r in mine)
     assert chat.read_back(chat.chat_examples(frame.limit(0))).collect() == []
 
 
@@ -58,6 +62,7 @@ def test_top_k(spark, monkeypatch):
     rows += [(400, None), (450, [0.1] * 15 + [None]), (500, [float("nan")] * 16), (550, [float("inf")] * 16), (None, [0.1] * 16), (600, [0.5, 0.5]), (601, [0.25, -1.0]), (650, [])]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, rank string")
     monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "SLICE", 2)
     monkeypatch.setattr(topk, "QUERIES", 3)
     got = {tuple(r) for r in topk.exact_top_k(frame, frame.filter("vec_id % 50 = 0")).collect()}
     assert got == brute_top(rows, {i for i, _ in rows if i is not None and i % 50 == 0}, 5)
@@ -67,6 +72,27 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(frame.limit(0), frame.limit(0)).collect() == []
 
 
+def test_top_k_collects_only_what_the_cutoffs_admit():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    q, r = np.floor(rng.normal(0, 40, (20, 64))), np.floor(rng.normal(0, 40, (3000, 64)))
+    scores = q @ r.T
+    cutoff = np.sort(scores, axis=1)[:, -5]
+    qs, rs, found = topk._collected(q, r, cutoff, topk._lists(64))
+    assert (found == scores[qs, rs]).all() and len(set(zip(qs.tolist(), rs.tolist(), strict=True))) == len(qs) < 0.25 * scores.size
+    assert {(i, j) for i, j in zip(*np.nonzero(scores >= cutoff[:, None]), strict=True)} <= set(zip(qs, rs, strict=True))
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(1, "one two three four five", "x", "a.b"), (2, "one two three four five", "y", "c"), (3, "quite another text of some words", "z", "d"), (None, None, None, None), (3, "quite another text of some words", "z", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, kept_id string").withColumnRenamed("kept_id", "row")
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "_id", "row"]
+    assert sorted((r.doc_id or 0, r._id) for r in docs.collect()) == [(0, None), (2, "y"), (3, "z")]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(400)]
