@@ -14,7 +14,7 @@ from lamplight.functions import lexicons as L
 def terms(texts: DataFrame, keys: list[str], content: str = "content", stop: list[str] | None = None) -> DataFrame:
     """Lower-case words of ASCII letters, two or more, that stand between other characters than letters and digits;
     stop words go. keys, pos (among the kept), term."""
-    stop = L.STOP_WORDS if stop is None else stop
+    stop = L.REPORT_STOP_WORDS if stop is None else stop
     found = F.regexp_extract_all(F.lower(content), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     kept = F.filter(found, lambda t: t.rlike("^[a-z]{2,}$") & ~t.isin(stop))
     return texts.select(*keys, F.posexplode(kept).alias("pos", "term"))

@@ -45,8 +45,10 @@ def lexicon(hits: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("lemma", F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6).alias("zipf"))
 
 
-def uncommon(lex: DataFrame, common: list[str] = (), below: float = RARE_BELOW) -> DataFrame:
-    """The lemmas of three letters or more that the lexicon knows as rare."""
+def uncommon(lex: DataFrame, common: list[str] | None = None, below: float = RARE_BELOW) -> DataFrame:
+    """The lemmas of three letters or more that the lexicon knows as rare and that are not common English
+    (a list; the closed lists of the lexicons where none is given). What the lexicon does not know is not rare."""
+    common = L.common_words() if common is None else common
     return lex.filter((F.col("zipf") < below) & (F.length("lemma") >= 3) & ~F.col("lemma").isin(list(common) or [""])).select("lemma")
 
 
@@ -60,7 +62,7 @@ def rare_rows(hits: DataFrame, rare: DataFrame, keys: list[str]) -> DataFrame:
         "lemma",
         "count",
         F.col("_l")[0]["tok"].alias("foothold"),
-        F.array_distinct(F.transform(F.slice("_l", 2, 1_000_000), lambda x: x["tok"])).alias("later"),
+        F.array_distinct(F.transform(F.filter("_l", lambda x, i: i > 0), lambda x: x["tok"])).alias("later"),
         S.severity(F.col("count")).alias("severity"),
     )
 

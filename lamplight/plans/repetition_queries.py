@@ -12,7 +12,7 @@ from lamplight.plans.views import CHAPTERS, DIALOGUE, chapters, dialogue, table
 
 KEY = ["manuscript", "chapter_number"]
 TERMS = rf"""{CHAPTERS}, tm0 AS (SELECT manuscript, chapter_number, list_filter(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'),
-      lambda t: regexp_full_match(t, '[a-z]{{2,}}') AND t NOT IN ({_list(L.STOP_WORDS)})) AS l FROM chapters),
+      lambda t: regexp_full_match(t, '[a-z]{{2,}}') AND t NOT IN ({_list(L.REPORT_STOP_WORDS)})) AS l FROM chapters),
     tm AS (SELECT manuscript, chapter_number, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS term FROM tm0)"""
 
 

@@ -80,8 +80,8 @@ register(
 )
 register(
     "U03_fancy_tags",
-    lambda s, d: L.words(s, list(L.SPEECH_VERBS.values()), "tag").exceptAll(L.words(s, L.BARE_ATTRIBUTION, "tag")),
-    f"SELECT unnest([{_list(sorted(set(L.SPEECH_VERBS.values())))}]) AS tag EXCEPT SELECT unnest([{_list(L.BARE_ATTRIBUTION)}])",
+    lambda s, d: L.words(s, [c for _, c in L.speech_forms()], "tag").exceptAll(L.words(s, L.BARE_ATTRIBUTION, "tag")),
+    f"SELECT unnest([{_list(sorted({c for _, c in L.speech_forms()}))}]) AS tag EXCEPT SELECT unnest([{_list(L.BARE_ATTRIBUTION)}])",
 )
 
 _on_docs("F08_normalized_key", lambda: S.normalized_key(F.col("text")), r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))")

@@ -58,8 +58,9 @@ def _hit(name: str, toks: str) -> str:
 SCENES = r"""ln AS (SELECT manuscript, chapter_number, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS line FROM (SELECT *, string_split(content, chr(10)) AS l FROM chapters)),
     scenes AS (SELECT manuscript, chapter_number, CAST(n // 5 AS INTEGER) AS scene, string_agg(line, chr(10) ORDER BY n) AS content FROM ln GROUP BY 1, 2, 3)"""
 HITS = f"{CHAPTERS}, {_tok('tk', 'chapters', 'manuscript, chapter_number')}, {_hit('hits', 'tk')}"
-RARE = """lex AS (SELECT lemma, round(log10(count(*) * 1e9 / (SELECT count(*) FROM hits)), 6) AS zipf FROM hits GROUP BY 1),
-    rare AS (SELECT lemma FROM lex WHERE zipf < 4.0 AND length(lemma) >= 3)"""
+_CE = _list(L.common_words())
+RARE = f"""lex AS (SELECT lemma, round(log10(count(*) * 1e9 / (SELECT count(*) FROM hits)), 6) AS zipf FROM hits GROUP BY 1),
+    rare AS (SELECT lemma FROM lex WHERE zipf < 4.0 AND length(lemma) >= 3 AND lemma NOT IN ({_CE}))"""
 SHITS = f"{SCENES}, {_tok('stk', 'scenes', 'manuscript, chapter_number, scene')}, {_hit('shits', 'stk')}"
 
 

@@ -117,12 +117,26 @@ def test_entry(spark):
 def test_excerpts(spark):
     from lamplight.operators import excerpts
 
-    assert excerpts.merged([(3, 5), (0, 3), (8, 9), (4, 6)]) == [(0, 6), (8, 9)]
+    assert excerpts.merged([(3, 5), (0, 3), (8, 9), (4, 6), (7, 7)]) == [(0, 6), (8, 9)]
+    assert excerpts.chosen(5000, [(3.0, 2050, 2950), (1.0, 4050, 4950)], 1000) == [(2050, 2950), (4050, 4150)]
+    assert excerpts.chosen(5000, [(3.0, 2050, 2950)], 2000) == [(950, 2950)]
+    assert excerpts.chosen(5000, [(1.0, 100, 300)], 2000) == [(0, 300)]
+    assert excerpts.chosen(10, [], 20) == [(0, 10)] and excerpts.chosen(0, [], 5) == []
     text = "".join(chr(97 + i % 26) for i in range(5000))
-    spans = excerpts.chosen(5000, [(3.0, 0.5), (1.0, 0.9)], 1000, radius=400)
-    assert sum(e - s for s, e in spans) == 1000 and (2100, 2900) in spans
-    assert excerpts.chosen(10, [(1.0, None)], 20) == [(0, 10)] and excerpts.chosen(0, [], 5) == []
-    chapters = spark.createDataFrame([("m", 1, text), ("m", 2, text)], "manuscript string, chapter_number int, content string")
+    rows = [("m", 1, "One", text), ("m", 2, "", text), ("n", 1, "One", text[:100]), ("n", 2, "Two", text)]
+    chapters = spark.createDataFrame(rows, "manuscript string, chapter_number int, title string, content string")
     hits = spark.createDataFrame([("m", 1, 3.0, 0.5), ("m", 2, 1.0, None), ("m", 2, 0.0, 0.1)], "manuscript string, chapter_number int, weight double, position double")
-    got = {r.chapter_number: len(r.excerpt.replace("\n[...]\n", "")) for r in excerpts.excerpts(chapters, hits, 4000).collect()}
-    assert got == {1: 3000, 2: 1000}
+    got = {r.manuscript: r.excerpt for r in excerpts.excerpts(chapters, hits, 4000).collect()}
+    # half of the ceiling at most; the window of the hit, then towards the beginning; an unplaced hit shows the beginning
+    assert got["m"] == "--- Chapter 1: One ---\n" + text[950:2950] + "\n\n--- Chapter 2: Chapter 2 ---\n" + text[:1200]
+    # no hits: equal parts of the ceiling, as far as there is text
+    assert got["n"] == "--- Chapter 1: One ---\n" + text[:100] + "\n\n--- Chapter 2: Two ---\n" + text[:2000]
+    tight = {r.manuscript: r.excerpt for r in excerpts.excerpts(chapters, hits, 900).collect()}
+    assert tight["m"] == ("--- Chapter 1: One ---\n" + text[2050:2500] + "\n\n--- Chapter 2: Chapter 2 ---\n" + text)[:900]
+
+
+def test_hits_go_to_places_or_to_chapters(spark):
+    from lamplight.operators import excerpts
+
+    rows = spark.createDataFrame([("m", [1, 2], [(1, 0.5), (1, 0.7), (3, 0.1)], "high", 10), ("m", [2], None, "low", 1)], "book string, chapters array<int>, locations array<struct<chapter_number:int,approximate_position:double>>, severity string, count int")
+    assert sorted((r.chapter_number, r.weight, r.position or -1) for r in excerpts.hits(rows, ["book"]).collect()) == [(1, 3.0, 0.5), (1, 3.0, 0.7), (2, 1.0, -1), (2, 6.0, -1)]

@@ -67,11 +67,39 @@ def test_every_survey_operator_is_named_in_the_code_or_as_not_covered():
 
 
 @tables
-def test_hits_are_in_every_chapter(spark):
-    n = pd.read_parquet(f"{SMALL}/documents.parquet", columns=["doc_id"]).shape[0]
-    assert registry.queries()["Q14_excerpts"](spark, SMALL).count() == n
-    shares = registry.queries()["R10_budget_shares"](spark, SMALL).toPandas()
-    assert len(shares) == n and set(shares.groupby("manuscript")["share"].sum()) == {20_000}
+def test_excerpts_as_a_loop_over_the_chapters_would_make_them(spark):
+    from lamplight.plans import excerpt_queries as Q
+    from lamplight.plans.views import chapters
+
+    got = {r["manuscript"]: r["excerpt"] for r in registry.queries()["Q14_excerpts"](spark, SMALL).collect()}
+    books, hits = {}, {}
+    for r in chapters(spark, SMALL).collect():
+        books.setdefault(r["manuscript"], {})[r["chapter_number"]] = r
+    for r in Q.hits(spark, SMALL).collect():
+        hits.setdefault((r["manuscript"], r["chapter_number"]), []).append((r["weight"], r["position"]))
+    shares = {(r["manuscript"], r["chapter_number"]): (r["n"], r["alloc"]) for r in registry.queries()["R09_allocation"](spark, SMALL).collect()}
+    assert set(got) == set(books)
+    for book, texts in books.items():
+        ceiling, used, blocks = min(100_000, 4000 * len(texts)), 0, []
+        for n in sorted((c for b, c in shares if b == book), key=lambda c: shares[book, c][0]):
+            text, head = texts[n]["content"], f"--- Chapter {n}: {texts[n]['title'] or f'Chapter {n}'} ---\n"
+            budget = min(shares[book, n][1], max(400, ceiling // 2), len(text), ceiling - used - len(head))
+            centres = [int(p * len(text)) for w, p in hits[book, n] if p is not None]
+            shown = set()
+            spots = [set(range(max(0, c - 450), min(len(text), c + 450))) for c in sorted(centres)]
+            for spot in spots:
+                shown |= spot
+            if not shown:
+                shown = set(range(budget))
+            if len(shown) > budget:  # of equal weight: the first whole, then what fits
+                first = sorted(spots[0])[:budget] if spots else []
+                shown = set(first) | set(sorted(shown - set(first))[: budget - len(first)]) if len(first) < budget else set(first)
+            while len(shown) < budget and min(shown) > 0:
+                shown.add(min(shown) - 1)
+            if budget > 0 and used < ceiling:
+                used += len(head) + len(shown)
+                blocks.append(head + "".join(text[i] for i in sorted(shown)))
+        assert got[book] == "\n\n".join(blocks)[:ceiling], book
 
 
 @tables
