@@ -53,7 +53,7 @@ def substring_count(text: Column, term: Column) -> Column:
 
 def normalized_quote(text: Column) -> Column:
     """F14, the text only: quotes and dashes folded, marks of emphasis dropped, blanks single, lower case."""
-    folded = F.translate(text, "‘’“”–—\xa0", "''\"\"-- ")
+    folded = F.translate(text, "‘’‚‛′“”„″—–‒‑‐\xa0", "'" * 5 + '"' * 4 + "-" * 5 + " ")
     folded = F.replace(F.translate(folded, "*_`", ""), F.lit("…"), F.lit("..."))
     return F.lower(F.trim(F.regexp_replace(folded, r"\s+", " ")))
 

@@ -31,4 +31,4 @@ def oracles() -> dict[str, str]:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from lamplight.plans import dialogue_queries, excerpt_queries, more_queries, repetition_queries, scalar_queries, state_queries, thrash_queries  # noqa: F401
+    from lamplight.plans import audit_queries, dialogue_queries, excerpt_queries, more_queries, quote_queries, repetition_queries, scalar_queries, state_queries, thrash_queries  # noqa: F401

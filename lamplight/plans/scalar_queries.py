@@ -97,7 +97,7 @@ _on_docs(
     r"CASE WHEN length(text) > 100 THEN CAST(len(string_split_regex(trim(left(text, 100)), '[ \n]+')) AS INTEGER) ELSE -1 END",
 )
 _FOLD = "text"
-for _from, _to in [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("\xa0", " "), ("*", ""), ("_", ""), ("`", ""), ("…", "...")]:
+for _from, _to in [*[(c, "'") for c in "‘’‚‛′"], *[(c, '"') for c in "“”„″"], *[(c, "-") for c in "—–‒‑‐"], ("\xa0", " "), ("*", ""), ("_", ""), ("`", ""), ("…", "...")]:
     _FOLD = f"replace({_FOLD}, {_list([_from])}, {_list([_to])})"
 _on_docs("F14_normalized_text", lambda: S.normalized_quote(F.col("text")), rf"lower(trim(regexp_replace({_FOLD}, '\s+', ' ', 'g')))")
 _on_docs("F20_card_text", lambda: S.card_text(F.col("text")), r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))")
