@@ -146,3 +146,8 @@ def hesitations(spoken: Column) -> dict[str, Column]:
         "hedge": spoken.rlike(hedge),
         "restart": spoken.rlike(r"(?i)\b(\w{1,6})[-—]\s?\1\b"),
     }
+
+
+def without_front_matter(text: Column) -> Column:
+    """A text without the YAML block that it begins with."""
+    return F.regexp_replace(text, r"(?s)\A\uFEFF?\s*---\r?\n.*?\r?\n---\r?\n?", "")

@@ -16,8 +16,6 @@ from lamplight.plans.views import table
 _on_docs("T01_front_matter", lambda: F.regexp_replace(F.concat(F.lit("---\ntitle: x\n---\n"), F.col("text")), r"(?s)\A\s*---\r?\n.*?\r?\n---\r?\n?", ""), "text")
 _on_docs("F21_cue_families", lambda: voice.cue_families(F.col("text")),
     "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{c}')" for c in cues) + (" THEN CASE WHEN " + " OR ".join(f"contains(lower(text), '{c}')" for c in L.CUES["sermon"]) + " THEN NULL ELSE 'monotone' END END" if k == "monotone" else f" THEN '{k}' END") for k, cues in sorted(L.CUES.items())) + "], lambda x: x IS NOT NULL)")
-_on_docs("F27_fences", lambda: F.regexp_replace(F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```")), r"(?m)^```[a-z]*\n?|\n?```$", ""), "text")
-_on_docs("F28_signal_kind", lambda: F.when(F.col("lang").isin("en", "de"), F.col("lang")).when(F.col("lang") == "", F.lit(None)).otherwise("other"), "CASE WHEN lang IN ('en', 'de') THEN lang WHEN lang = '' THEN NULL ELSE 'other' END")
 _on_docs("N26_span", lambda: F.concat(F.array_join(F.slice(F.split("text", " "), 1, 8), " "), F.lit("…")), "array_to_string((string_split(text, ' '))[1:8], ' ') || '…'")
 _on_docs("N01_location", lambda: F.regexp_count(F.left("text", F.lit(400)), F.lit("\n")) + 1, "CAST(length(left(text, 400)) - length(replace(left(text, 400), chr(10), '')) + 1 AS INTEGER)")
 register("T03_fact_scenes", lambda s, d: chunks.fact_scenes(table(s, d, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n---\n")).alias("content")), ["doc_id"]),
@@ -94,7 +92,6 @@ register("X07_sliding_window", lambda s, d: history(s, d).groupBy("user_id", "ch
 register("V03_context", lambda s, d: table(s, d, "benchmark").filter("item_id < 5").groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.concat(F.lit("[Chapter "), x["item_id"].cast("string"), F.lit("]\n"), x["text"])), "\n\n").alias("context")),
     "SELECT string_agg('[Chapter ' || item_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS context FROM benchmark WHERE item_id < 5")
 register("N03_unit_hits", lambda s, d: finding_rows(s, d).select("finding_id", F.explode(F.array_distinct("cited")).alias("chapter")), f"WITH {FIND} SELECT finding_id, unnest(list_distinct(cited)) AS chapter FROM fd")
-register("N19_parse_failed", lambda s, d: table(s, d, "events").agg(F.count_if(F.get_json_object("props", "$.k").isNull()).alias("failed")), "SELECT count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS failed FROM events")
 register("N30_switches", lambda s, d: characters(s, d).select("slug", F.coalesce(F.col("died") > 5, ~(F.col("introduced") > 3)).alias("on")), f"WITH {CHAR} SELECT slug, coalesce(died > 5, NOT introduced > 3) AS \"on\" FROM ch")
 register("W07_context_lines", lambda s, d: intervals(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("chapter").orderBy("s", "e", "weight").rowsBetween(-2, 2))).groupBy("chapter").agg(F.sum("n").alias("n")),
     f"WITH {INTV}, c AS (SELECT chapter, count(*) OVER (PARTITION BY chapter ORDER BY s, e, weight ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM iv) SELECT chapter, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")

@@ -98,5 +98,5 @@ register("J07_near_sentences", lambda s, d: R.band_pairs(_sent(s, d), "doc_id"))
 register(
     "W06_neighbour_sentences",
     lambda s, d: _sent(s, d).withColumn("around", F.expr("array_join(collect_list(sentence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), '|')")).select("doc_id", "pos", "around"),
-    rf"WITH {SENT} SELECT doc_id, CAST(pos AS INTEGER) AS pos, string_agg(left(sentence, 20), '|') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM se",
+    rf"WITH {SENT} SELECT doc_id, CAST(pos AS INTEGER) AS pos, string_agg(sentence, '|') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM se",
 )

@@ -197,7 +197,6 @@ _on_lines("M05_register_severity", lambda: F.when((F.col("l_linenumber") < 3) &
     "CASE WHEN l_linenumber < 3 AND n >= 5 THEN 'high' WHEN l_linenumber < 5 THEN 'moderate' ELSE 'low' END")
 _on_lines("M06_row_weight", lambda: S.row_weight(S.severity(F.col("n")), F.col("n")), f"CAST((CASE {_SEV.format('n', 4, 2)} WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) * (1 + floor(log10(greatest(n, 1)))) AS INTEGER)")
 _on_lines("M07_band", lambda: S.band(F.col("p")), "CASE WHEN p >= 0.65 THEN 'positive' WHEN p >= 0.35 THEN 'mid' ELSE 'negative' END")
-_on_lines("M08_needs_enrich", lambda: (S.band(F.col("p")) == "negative") | (F.col("p") < 0.55), "p < 0.55")
 _on_lines("M09_severity_rank", lambda: S.severity_rank(S.severity(F.col("n"))), "CASE WHEN n >= 4 THEN 0 WHEN n >= 2 THEN 1 ELSE 2 END")
 _on_lines("N04_chapter_chars", lambda: F.when(F.col("l_linenumber") == 1, 4000).otherwise(16000), "CASE WHEN l_linenumber = 1 THEN 4000 ELSE 16000 END")
 register(
