@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import cut, join_groups
+from lamplight.llm.common import cut, join_groups, pieces
 
 WINDOW, LEAST, MEAN_BITS, MOST = 32, 256, 11, 16384
 DIGEST = 16
@@ -73,7 +73,7 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 def _recipes(digest_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             data, ends, view = _texts(batch.column(1))
             lo, hi = (int(ends[0]), int(ends[-1]))
             points = cut_points(data[lo:hi]) + lo if hi > lo else np.zeros(0, np.int64)
@@ -93,7 +93,7 @@ def _chunks(digest_size: int, placed: bool):
     """Chunk rows; without places each batch sends a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             data, ends, view = _texts(batch.column(1))
             lo, hi = (int(ends[0]), int(ends[-1]))
             points = cut_points(data[lo:hi]) + lo if hi > lo else np.zeros(0, np.int64)
@@ -148,7 +148,7 @@ def _resolved(source: DataFrame, recipes: DataFrame, variants: DataFrame, split:
     ranked = variants.join(split.select("digest"), "digest", "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy("digest").orderBy("body"))
     )
-    spaced = source.withColumn("_seq", F.monotonically_increasing_id())
+    spaced = cut(source.withColumn("_seq", F.monotonically_increasing_id()))  # numbered once, whatever is computed again
     places = spaced.select("_seq", "text", F.lit("").alias("sha")).mapInArrow(
         _chunks(digest_size, True), "_row_id long, seq int, digest string, body binary"
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import is_fold
+from lamplight.llm.common import is_fold, pieces
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most labelled rows of either class that training takes: those whose ids hash lowest.
@@ -247,7 +247,7 @@ def _scored(chain: Chain):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             scores, spans = [], []
             for text in batch.column(1):
                 score, found = chain.read(text.as_py() or "")
@@ -278,8 +278,9 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     chain = fit(docs, labels, sample_rows)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([chain.read(t.as_py() or "")[0] < threshold for t in batch.column(at)], pa.bool_()))
+        for whole in batches:
+            at = whole.schema.get_field_index("text")
+            for batch in pieces(whole, at):
+                yield batch.filter(pa.array([chain.read(t.as_py() or "")[0] < threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
