@@ -19,8 +19,11 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamplight.llm.common import counted
+
 SHINGLE, WINDOW, BANDS, CONTAINED = 5, 2, 14, 0.8
-#: Most distinct shingles of all templates together; their bands are broadcast and their bitmap is compiled into the filter.
+#: Most distinct shingles of all templates together for which a bitmap is compiled into the filter; beyond it all windows
+#: are banded, which costs time but no match.
 MOST_TEMPLATE_SHINGLES = 20_000
 BITMAP = 1 << 20
 #: Shingles that a text must hold without exception; in templates of up to NOTICE words, any with a digit also.
@@ -157,9 +160,6 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     templates = notices(spark) if templates is None else templates
     # so few rows that they go through the driver, once
     grams = [(i, *g) for i, w in templates.select("template_id", _words(F.col("text"))).collect() for g in _grams(w)]
-    count = len({said for _, said, _ in grams})
-    if count > MOST_TEMPLATE_SHINGLES:
-        raise ValueError(f"{count} template shingles; at most {MOST_TEMPLATE_SHINGLES} are taken at once")
     said = spark.createDataFrame(sorted({(said, *said.split(" "), *[None] * SHINGLE)[: SHINGLE + 1] for _, said, _ in grams}), ", ".join(["said string", *[f"w{j} string" for j in range(SHINGLE)]]))
     hashed_as = dict(said.select("said", F.when(F.col(f"w{SHINGLE - 1}").isNull(), F.xxhash64(F.lit("short"), "said")).otherwise(F.xxhash64(*[f"w{j}" for j in range(SHINGLE)]))).collect())
     by_template: dict[str, list[tuple[int, bool]]] = {}
@@ -180,13 +180,13 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     # a window is (place, its two shingles); at the end of a text the last may have one
     pairs = "CASE WHEN size(s) > 0 THEN transform(sequence(0, size(s) - 1, 2), i -> struct(i AS at, s[i] AS a, CASE WHEN i + 1 < size(s) THEN s[i + 1] ELSE s[i] END AS b)) ELSE array() END"
     windows = hashed.select("_uid", "doc_id", F.explode(F.concat(F.expr(pairs).cast("array<struct<at:int,a:bigint,b:bigint>>"), "short")).alias("x")).select("_uid", "doc_id", "x.at", "x.a", "x.b")
-    bits = _bitmap(hashes)
-    hit = F.expr(" OR ".join(f"(shiftright({bits}[CAST(shiftright({h} & {BITMAP - 1}, 6) AS INT)], CAST({h} & 63 AS INT)) & 1) = 1" for h in ("a", "b")))
+    bits = _bitmap(hashes) if len(hashes) <= MOST_TEMPLATE_SHINGLES else None
+    hit = F.lit(True) if bits is None else F.expr(" OR ".join(f"(shiftright({bits}[CAST(shiftright({h} & {BITMAP - 1}, 6) AS INT)], CAST({h} & 63 AS INT)) & 1) = 1" for h in ("a", "b")))
     banded = windows.filter(hit).select("_uid", "doc_id", "at", "a", "b", F.explode(bands).alias("x")).select("_uid", "doc_id", "at", "a", "b", "x.band", "x.value")
-    retrieved = banded.join(F.broadcast(wanted), ["band", "value"]).select("_uid", "doc_id", "at", "a", "b", "template_id").distinct()
+    retrieved = banded.join(counted(wanted), ["band", "value"]).select("_uid", "doc_id", "at", "a", "b", "template_id").distinct()
     held = F.explode(F.array(F.struct(F.col("at").alias("at"), F.col("a").alias("h")), F.struct((F.col("at") + F.when(F.col("a") == F.col("b"), 0).otherwise(1)).alias("at"), F.col("b").alias("h"))))
     found = retrieved.select("_uid", "doc_id", "template_id", held.alias("x")).select("_uid", "doc_id", "template_id", "x.at", "x.h")
-    checked = found.join(F.broadcast(own), ["template_id", "h"])
+    checked = found.join(counted(own), ["template_id", "h"])
     matched = checked.groupBy("_uid", "doc_id", "template_id").agg(
         F.countDistinct("h").alias("n_found"), F.countDistinct(F.when(F.col("must"), F.col("h"))).alias("n_held"), F.max("n_template").alias("n_template"), F.max("n_must").alias("n_must"), F.min("at").alias("first_shingle"), F.max("at").alias("last_shingle")
     )
