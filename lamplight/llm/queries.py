@@ -60,20 +60,28 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_oracle() -> str:
-    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.NOTICES)
+    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.template_set())
     words = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+    runs = "list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))"
+    short = " UNION ALL ".join(
+        f"""SELECT doc_id, template_id, 1 AS n_found, 1 AS n_template, min(pos) AS first_shingle, max(pos) AS last_shingle
+            FROM (SELECT doc_id, unnest(range(0, len(w) - {k - 1})) AS pos, unnest({runs.format(k=k)}) AS h FROM dw WHERE len(w) >= {k}) JOIN st USING (h) GROUP BY 1, 2"""
+        for k in range(1, licenses.SHINGLE)
+    )
     return rf"""
         WITH t(template_id, text) AS (VALUES {rows}),
         tw AS (SELECT template_id, {words} AS w FROM t),
-        ts AS (SELECT DISTINCT template_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS h FROM tw),
-        tn AS (SELECT template_id, count(*) AS n_template FROM ts GROUP BY 1),
+        st AS (SELECT template_id, array_to_string(w, ' ') AS h FROM tw WHERE len(w) < 5 AND w[1] <> ''),
+        ts AS (SELECT DISTINCT template_id, len(w) AS n, unnest({runs.format(k=5)}) AS h FROM tw WHERE len(w) >= 5),
+        tm AS (SELECT template_id, h, regexp_matches(h, '{licenses.EXACT}') OR (n <= {licenses.NOTICE} AND regexp_matches(h, '[0-9]')) AS must FROM ts),
+        tn AS (SELECT template_id, count(*) AS n_template, count(*) FILTER (must) AS n_must FROM tm GROUP BY 1),
         dw AS (SELECT doc_id, {words} AS w FROM documents),
-        ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos,
-                      unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS h FROM dw),
-        m AS (SELECT doc_id, template_id, count(DISTINCT h) AS n_found, CAST(min(pos) AS INTEGER) AS first_shingle, CAST(max(pos) AS INTEGER) AS last_shingle
-              FROM ds JOIN ts USING (h) GROUP BY 1, 2)
-        SELECT doc_id, template_id, n_found / n_template AS containment, n_found, n_template, first_shingle, last_shingle
-        FROM m JOIN tn USING (template_id) WHERE n_found >= 0.8 * n_template"""
+        ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos, unnest({runs.format(k=5)}) AS h FROM dw WHERE len(w) >= 5),
+        m AS (SELECT doc_id, template_id, count(DISTINCT h) AS n_found, count(DISTINCT h) FILTER (must) AS n_held, min(pos) AS first_shingle, max(pos) AS last_shingle
+              FROM ds JOIN tm USING (h) GROUP BY 1, 2),
+        a AS (SELECT doc_id, template_id, n_found, n_template, first_shingle, last_shingle FROM m JOIN tn USING (template_id) WHERE n_found >= {licenses.CONTAINED} * n_template AND n_held = n_must
+              UNION ALL {short})
+        SELECT doc_id, template_id, n_found / n_template AS containment, CAST(n_found AS BIGINT) AS n_found, CAST(n_template AS BIGINT) AS n_template, CAST(first_shingle AS INTEGER) AS first_shingle, CAST(last_shingle AS INTEGER) AS last_shingle FROM a"""
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,5 +133,26 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v r ON r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op3_sharding": r"""
+        WITH RECURSIVE step(i, k, c) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS crc_table FROM step WHERE k = 8),
+        b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+        s AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c // 256, crc_table[CAST(xor(c % 256, x) AS BIGINT) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, crc),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM s),
+        h AS (SELECT *, CAST(least(23, (2 * before + size) * 24 // (2 * total)) AS INTEGER) AS shard FROM p)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM h""",
     "op9_licenses": _license_oracle(),
+    "op10_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i + 3], ' '))) AS h FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM e JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach),
+        c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
 }
