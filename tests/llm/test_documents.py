@@ -121,6 +121,28 @@ def test_mixing_laws():
     assert widths.max() - widths.min() <= 1
 
 
+def test_mixing_takes_what_its_slots_name(docs):
+    """Words taken from every document, recounted one word at a time from the plan and the permutations."""
+    import numpy as np
+
+    words = lambda t: len((t or "").encode().split())
+    sized = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    once = {(r.doc_id, r.size): r.taken for r in mixing.taken(sized, block=64, shards=3).collect()}
+    rows = {r[0]: r for r in reversed(awkward()) if r[0] is not None}
+    streams = defaultdict(list)
+    for i in sorted(rows):
+        streams[rows[i][3]] += [i] * words(rows[i][1])
+    sizes = {r[3]: 0 for r in rows.values()} | {s: len(v) for s, v in streams.items()}
+    made, took = mixing.plan(list(sizes.items()), block=64, shards=3), Counter()
+    for s in made["sources"]:
+        for j in range(s["slots"]):
+            epoch, at = divmod(j, s["blocks"])
+            b = int(mixing.permute(np.array([at]), np.array([s["blocks"]]), np.array([mixing._key(s["sid"], epoch, mixing.SEED)]))[0])
+            held = streams[s["source"]][64 * b : 64 * b + 64]
+            took.update(held[: s["last"]] if j == s["slots"] - 1 and s["last"] else held)
+    assert {i: n for (i, _), n in once.items() if n} == dict(took)
+
+
 def test_mixed_documents_say_what_was_taken(docs):
     rows = mixing.mixed_documents(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect()
     took = Counter()
