@@ -38,10 +38,6 @@ register("A15_speaker_metrics", lambda s, d: voice.speaker_metrics(said(s, d), "
 register("J10_collapsed_voices", lambda s, d: voice.collapsed(voice.speaker_metrics(said(s, d), "speaker", "line"), "speaker"),
     f"WITH {_MET} SELECT a.speaker AS a, b.speaker AS b FROM me a JOIN me b ON a.speaker < b.speaker AND abs(a.avg_words - b.avg_words) <= 2.0 AND abs(a.contraction_rate - b.contraction_rate) <= 0.1 AND abs(a.fragment_rate - b.fragment_rate) <= 0.1")
 _CARDS = [(f"{r}{i}", v) for i in range(6) for r, v in (("user", "terse and colloquial"), ("assistant", "a sermon, fragmentary"), ("system", "monotone"))]
-register("Q06_voice_cards", lambda s, d: voice.cue_misses(voice.speaker_metrics(said(s, d), "speaker", "line"), s.createDataFrame(_CARDS, "slug string, dialogue_voice string"), "speaker"),
-    f"""WITH {_MET}, m AS (SELECT speaker, list_filter([CASE WHEN (speaker LIKE 'user%' OR speaker LIKE 'system%') AND avg_words >= 12 THEN 'terse' END, CASE WHEN speaker LIKE 'user%' AND contraction_rate <= 0.05 THEN 'colloquial' END,
-          CASE WHEN speaker LIKE 'assistant%' AND fragment_rate <= 0.05 AND interruption_rate <= 0.05 THEN 'fragmentary' END, CASE WHEN speaker LIKE 'assistant%' AND (avg_words <= 4 OR contraction_rate >= 0.4) THEN 'sermon' END], lambda x: x IS NOT NULL) AS misses FROM me WHERE line_count >= 4)
-        SELECT speaker, misses, CASE WHEN len(misses) >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM m WHERE len(misses) > 0""")
 register("F17_given_name", lambda s, d: table(s, d, "part").select("p_partkey", voice.given_name(F.concat(F.lit("Dr. "), "p_name")).alias("alias")), "SELECT p_partkey, split_part(p_name, ' ', 1) AS alias FROM part")
 register("J09_alias_collisions", lambda s, d: table(s, d, "part").select("p_partkey", voice.given_name(F.col("p_name")).alias("alias")).groupBy("alias").agg(F.countDistinct("p_partkey").alias("n")).filter("n > 1"),
     "SELECT split_part(p_name, ' ', 1) AS alias, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
@@ -65,10 +61,6 @@ register("U06_last_wins", lambda s, d: characters(s, d).select("slug", F.map_val
     f"WITH {CHAR} SELECT slug, [CAST(introduced AS VARCHAR), 'x'] AS merged FROM ch")
 register("U07_unique_lists", lambda s, d: finding_rows(s, d).select("finding_id", F.array_distinct(F.concat("cited", F.array(F.lit(3), F.lit(1)))).alias("all")),
     f"WITH {FIND} SELECT finding_id, list_filter(list_concat(cited, [3, 1]), lambda x, i: list_position(list_concat(cited, [3, 1]), x) = i) AS all FROM fd".replace(" AS all", ' AS "all"'))
-register("J19_enriched", lambda s, d: finding_rows(s, d).join(F.broadcast(s.createDataFrame([("dim1", "sharper"), ("dim2", None)], "dimension string, better string")), "dimension", "left").select("finding_id", F.coalesce("better", "dimension").alias("summary")),
-    f"WITH {FIND} SELECT finding_id, CASE WHEN dimension = 'dim1' THEN 'sharper' ELSE dimension END AS summary FROM fd")
-register("J21_repetition_dedupe", lambda s, d: table(s, d, "part").select(F.lower(F.trim("p_name")).alias("k")).distinct().join(table(s, d, "part").filter("p_size < 10").select(F.lower("p_name").alias("k")), "k", "left_anti"),
-    "SELECT DISTINCT lower(trim(p_name)) AS k FROM part WHERE lower(trim(p_name)) NOT IN (SELECT lower(p_name) FROM part WHERE p_size < 10)")
 register("A14_guarded_shares", lambda s, d: finding_rows(s, d).groupBy("dimension").agg(F.round(F.try_divide(F.count_if("verified"), F.count_if(F.col("certainty") > 1e9)), 4).alias("share")),
     f"WITH {FIND} SELECT dimension, round(count(*) FILTER (verified) / nullif(count(*) FILTER (certainty > 1e9), 0), 4) AS share FROM fd GROUP BY 1")
 register("A23_stats_merge", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors")),
@@ -83,14 +75,6 @@ register("R12_hit_weights", lambda s, d: finding_rows(s, d).select(F.explode("ci
     f"WITH {FIND}, c AS (SELECT unnest(cited) AS chapter, CASE WHEN severity = 'concern' THEN 5 ELSE 1 END AS w FROM fd) SELECT chapter, CAST(sum(w) AS BIGINT) AS weight FROM c GROUP BY 1")
 register("R13_order_warnings", lambda s, d: history(s, d).withColumn("mark", F.max("chapter").over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).select("user_id", "seq", F.when(F.col("mark").isNull() | (F.col("chapter") == F.col("mark") + 1), "next").when(F.col("chapter") <= F.col("mark"), "regression").otherwise("skip").alias("kind")),
     f"WITH {HIST}, m AS (SELECT *, max(chapter) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM hs) SELECT user_id, seq, CASE WHEN mark IS NULL OR chapter = mark + 1 THEN 'next' WHEN chapter <= mark THEN 'regression' ELSE 'skip' END AS kind FROM m")
-register("X01_high_water", lambda s, d: history(s, d).groupBy("user_id").agg(F.max("chapter").alias("mark")), f"WITH {HIST} SELECT user_id, max(chapter) AS mark FROM hs GROUP BY 1")
-register("X05_invalidate_from", lambda s, d: physical(s, d).filter("chapter < 7").groupBy("entity").agg(F.count(F.lit(1)).alias("n")), f"WITH {PHYS} SELECT entity, count(*) AS n FROM ps WHERE chapter < 7 GROUP BY 1")
-register("X06_rolling_prior", lambda s, d: history(s, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seq")))).filter("n <= 15").groupBy("user_id").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("rows")),
-    f"WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS n FROM hs) SELECT user_id, min(seq) AS first, count(*) AS rows FROM r WHERE n <= 15 GROUP BY 1")
-register("X07_sliding_window", lambda s, d: history(s, d).groupBy("user_id", "chapter").agg(F.sum("value").alias("v")).withColumn("v5", F.round(F.sum("v").over(Window.partitionBy("user_id").orderBy("chapter").rowsBetween(-4, 0)), 4)).select("user_id", "chapter", "v5"),
-    f"WITH {HIST}, c AS (SELECT user_id, chapter, sum(value) AS v FROM hs GROUP BY 1, 2) SELECT user_id, chapter, round(sum(v) OVER (PARTITION BY user_id ORDER BY chapter ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS v5 FROM c")
-register("V03_context", lambda s, d: table(s, d, "benchmark").filter("item_id < 5").groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.concat(F.lit("[Chapter "), x["item_id"].cast("string"), F.lit("]\n"), x["text"])), "\n\n").alias("context")),
-    "SELECT string_agg('[Chapter ' || item_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS context FROM benchmark WHERE item_id < 5")
 register("N03_unit_hits", lambda s, d: finding_rows(s, d).select("finding_id", F.explode(F.array_distinct("cited")).alias("chapter")), f"WITH {FIND} SELECT finding_id, unnest(list_distinct(cited)) AS chapter FROM fd")
 register("N30_switches", lambda s, d: characters(s, d).select("slug", F.coalesce(F.col("died") > 5, ~(F.col("introduced") > 3)).alias("on")), f"WITH {CHAR} SELECT slug, coalesce(died > 5, NOT introduced > 3) AS \"on\" FROM ch")
 register("W07_context_lines", lambda s, d: intervals(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("chapter").orderBy("s", "e", "weight").rowsBetween(-2, 2))).groupBy("chapter").agg(F.sum("n").alias("n")),

@@ -65,8 +65,6 @@ def dims(s):
 DIMS = "dm AS (SELECT 'dim' || range AS dimension FROM range(18))"
 
 register("R01_before", lambda s, d: characters(s, d).filter(ST.before(F.col("died"), N)).select("slug"), f"WITH {CHAR} SELECT slug FROM ch WHERE died IS NULL OR died < {N}")
-register("R02_cast_as_of", lambda s, d: ST.cast_as_of(characters(s, d), N),
-    f"WITH {CHAR} SELECT slug, CASE WHEN died < {N} THEN 'dead' WHEN status = 'dead' THEN 'active' ELSE status END AS status FROM ch WHERE introduced < {N}")
 register("R03_secret_as_of", lambda s, d: ST.state_as_of(history(s, d), "user_id", "state", "chapter", N),
     f"WITH {HIST} SELECT user_id, arg_max(state, chapter * 10000000000 + seq) AS state, max(chapter) AS since FROM hs WHERE chapter < {N} GROUP BY 1")
 register(
@@ -84,7 +82,6 @@ register("W11_last_rows", lambda s, d: ST.last_rows(physical(s, d), ["entity"],
     f"WITH {PHYS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY chapter DESC, file_pos DESC) AS n FROM ps) SELECT entity, attribute, value, chapter, file_pos FROM r WHERE n <= 3")
 register("W12_sequence_ids", lambda s, d: seeds(s, d).select("slug", F.concat(F.left("priority", F.lit(1)), F.row_number().over(Window.partitionBy(F.left("priority", F.lit(1))).orderBy("slug")).cast("string")).alias("id")),
     f"WITH {SEED} SELECT slug, left(priority, 1) || row_number() OVER (PARTITION BY left(priority, 1) ORDER BY slug) AS id FROM sd")
-register("W09_window_of_chapters", lambda s, d: physical(s, d).filter("chapter BETWEEN 3 AND 8").groupBy("chapter").agg(F.count(F.lit(1)).alias("n")), f"WITH {PHYS} SELECT chapter, count(*) AS n FROM ps WHERE chapter BETWEEN 3 AND 8 GROUP BY 1")
 register("J16_unrecorded", lambda s, d: ST.unrecorded(physical(s, d), "entity", "chapter", 12),
     f"""WITH {PHYS}, e AS (SELECT DISTINCT entity FROM ps), x AS (SELECT entity, CAST(range AS INTEGER) AS c FROM e, range(1, 13)),
         g AS (SELECT entity, c FROM x EXCEPT SELECT entity, chapter FROM ps) SELECT entity, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS missing FROM g GROUP BY 1""")
@@ -114,8 +111,6 @@ register("R07_merge_intervals", lambda s, d: ST.merge_intervals(intervals(s, d),
     f"""WITH {INTV}, m AS (SELECT *, max(e) OVER (PARTITION BY chapter ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
         g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chapter ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m)
         SELECT chapter, min(s) AS s, max(e) AS e FROM g GROUP BY chapter, i""")
-register("R08_hit_window", lambda s, d: intervals(s, d).selectExpr("chapter", "s", "greatest(0, CAST(floor((s / 5000.0D) * 4000) AS INT) - 200) AS lo", "least(4000, CAST(floor((s / 5000.0D) * 4000) AS INT) + 200) AS hi"),
-    f"WITH {INTV} SELECT chapter, s, greatest(0, CAST(floor((s / CAST(5000 AS DOUBLE)) * 4000) AS INTEGER) - 200) AS lo, least(4000, CAST(floor((s / CAST(5000 AS DOUBLE)) * 4000) AS INTEGER) + 200) AS hi FROM iv")
 
 
 def month_weights(s, d):
@@ -133,8 +128,6 @@ register("W15_running_budget", lambda s, d: ST.running_budget(month_weights(s, d
 register("W16_acts", lambda s, d: physical(s, d).select("chapter").distinct().withColumn("act", F.expr("CAST((row_number() OVER (ORDER BY chapter) - 1) div 5 + 1 AS INT)")),
     f"WITH {PHYS} SELECT chapter, CAST((row_number() OVER (ORDER BY chapter) - 1) // 5 + 1 AS INTEGER) AS act FROM (SELECT DISTINCT chapter FROM ps)")
 register("W17_positions", lambda s, d: intervals(s, d).selectExpr("chapter", "s", "round(s / 5000.0D, 3) AS position"), f"WITH {INTV} SELECT chapter, s, round(s / CAST(5000 AS DOUBLE), 3) AS position FROM iv")
-register("J23_act_ranges", lambda s, d: characters(s, d).join(F.broadcast(s.createDataFrame([(1, 1, 4), (2, 5, 8)], "act int, lo int, hi int")), F.expr("introduced BETWEEN lo AND hi"), "left").select("slug", F.coalesce("act", F.lit(2)).alias("act")),
-    f"WITH {CHAR}, a(act, lo, hi) AS (VALUES (1, 1, 4), (2, 5, 8)) SELECT slug, coalesce(act, 2) AS act FROM ch LEFT JOIN a ON introduced BETWEEN lo AND hi")
 
 # --- findings -----------------------------------------------------------------------------------------------------
 register("O11_prioritized", lambda s, d: FN.prioritized(finding_rows(s, d), "story").filter("rank <= 50").select("story", "rank", "finding_id"),
