@@ -57,22 +57,6 @@ for _name, _cap, _by in [
     top(_name, _cap, lambda by=_by: [F.expr(_S), *[F.expr(x.removesuffix(" DESC")).desc() if x.endswith(" DESC") else F.expr(x) for x in by.split(", ")]], f"{_S}, {_by}")
 register("O14_recovery_order", lambda s, d: physical(s, d).select("chapter").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("chapter") != 7, F.abs(F.lit(7) - F.col("chapter")), "chapter"))).filter("rank <= 3"),
     f"WITH {PHYS}, c AS (SELECT DISTINCT chapter FROM ps) SELECT * FROM (SELECT chapter, CAST(row_number() OVER (ORDER BY chapter <> 7, abs(7 - chapter), chapter) AS INTEGER) AS rank FROM c) WHERE rank <= 3")
-register("U06_last_wins", lambda s, d: characters(s, d).select("slug", F.map_values(F.map_zip_with(F.create_map(F.lit("a"), "status", F.lit("b"), F.lit("x")), F.create_map(F.lit("a"), F.col("introduced").cast("string")), lambda k, x, y: F.coalesce(y, x))).alias("merged")),
-    f"WITH {CHAR} SELECT slug, [CAST(introduced AS VARCHAR), 'x'] AS merged FROM ch")
-register("U07_unique_lists", lambda s, d: finding_rows(s, d).select("finding_id", F.array_distinct(F.concat("cited", F.array(F.lit(3), F.lit(1)))).alias("all")),
-    f"WITH {FIND} SELECT finding_id, list_filter(list_concat(cited, [3, 1]), lambda x, i: list_position(list_concat(cited, [3, 1]), x) = i) AS all FROM fd".replace(" AS all", ' AS "all"'))
-register("A14_guarded_shares", lambda s, d: finding_rows(s, d).groupBy("dimension").agg(F.round(F.try_divide(F.count_if("verified"), F.count_if(F.col("certainty") > 1e9)), 4).alias("share")),
-    f"WITH {FIND} SELECT dimension, round(count(*) FILTER (verified) / nullif(count(*) FILTER (certainty > 1e9), 0), 4) AS share FROM fd GROUP BY 1")
-register("A23_stats_merge", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("errors")),
-    "SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
-register("A27_grounded_ratings", lambda s, d: finding_rows(s, d).groupBy("story", "dimension").agg(F.when(F.bool_or((F.col("severity") == "concern") & F.col("verified")), "concern").otherwise("neutral").alias("rating")),
-    f"WITH {FIND} SELECT story, dimension, CASE WHEN bool_or(severity = 'concern' AND verified) THEN 'concern' ELSE 'neutral' END AS rating FROM fd GROUP BY 1, 2")
-register("A28_forms", lambda s, d: history(s, d).groupBy("user_id", "state").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("user_id")), 4)).filter("share >= 0.02 AND n >= 2"),
-    f"WITH {HIST}, c AS (SELECT user_id, state, count(*) AS n FROM hs GROUP BY 1, 2), t AS (SELECT *, round(n / sum(n) OVER (PARTITION BY user_id), 4) AS share FROM c) SELECT * FROM t WHERE share >= 0.02 AND n >= 2")
-register("A29_quip_mix", lambda s, d: history(s, d).groupBy("user_id").agg(F.count_if(F.col("state") == "click").alias("quips"), F.count(F.lit(1)).alias("n")).filter("n >= 4 AND quips < 0.25 * n").select("user_id", F.when(F.col("quips") < 0.1 * F.col("n"), "high").otherwise("moderate").alias("severity")),
-    f"WITH {HIST}, c AS (SELECT user_id, count(*) FILTER (state = 'click') AS quips, count(*) AS n FROM hs GROUP BY 1) SELECT user_id, CASE WHEN quips < 0.1 * n THEN 'high' ELSE 'moderate' END AS severity FROM c WHERE n >= 4 AND quips < 0.25 * n")
-register("R12_hit_weights", lambda s, d: finding_rows(s, d).select(F.explode("cited").alias("chapter"), F.when(F.col("severity") == "concern", 5).otherwise(1).alias("w")).groupBy("chapter").agg(F.sum("w").alias("weight")),
-    f"WITH {FIND}, c AS (SELECT unnest(cited) AS chapter, CASE WHEN severity = 'concern' THEN 5 ELSE 1 END AS w FROM fd) SELECT chapter, CAST(sum(w) AS BIGINT) AS weight FROM c GROUP BY 1")
 register("R13_order_warnings", lambda s, d: history(s, d).withColumn("mark", F.max("chapter").over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).select("user_id", "seq", F.when(F.col("mark").isNull() | (F.col("chapter") == F.col("mark") + 1), "next").when(F.col("chapter") <= F.col("mark"), "regression").otherwise("skip").alias("kind")),
     f"WITH {HIST}, m AS (SELECT *, max(chapter) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM hs) SELECT user_id, seq, CASE WHEN mark IS NULL OR chapter = mark + 1 THEN 'next' WHEN chapter <= mark THEN 'regression' ELSE 'skip' END AS kind FROM m")
 register("N03_unit_hits", lambda s, d: finding_rows(s, d).select("finding_id", F.explode(F.array_distinct("cited")).alias("chapter")), f"WITH {FIND} SELECT finding_id, unnest(list_distinct(cited)) AS chapter FROM fd")

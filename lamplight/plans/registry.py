@@ -31,4 +31,4 @@ def oracles() -> dict[str, str]:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from lamplight.plans import audit_queries, dialogue_queries, excerpt_queries, judging_queries, more_queries, quote_queries, repetition_queries, report_queries, scalar_queries, state_queries, story_queries, thrash_queries  # noqa: F401
+    from lamplight.plans import audit_queries, dialogue_queries, excerpt_queries, finding_queries, judging_queries, more_queries, quote_queries, repetition_queries, report_queries, scalar_queries, state_queries, story_queries, thrash_queries  # noqa: F401

@@ -132,16 +132,8 @@ register("W17_positions", lambda s, d: intervals(s, d).selectExpr("chapter", "s"
 # --- findings -----------------------------------------------------------------------------------------------------
 register("O11_prioritized", lambda s, d: FN.prioritized(finding_rows(s, d), "story").filter("rank <= 50").select("story", "rank", "finding_id"),
     f"WITH {FIND}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY story ORDER BY {_RANK}, certainty DESC, dimension, finding_id) AS INTEGER) AS rank FROM fd) SELECT story, rank, finding_id FROM r WHERE rank <= 50")
-register("W13_rank", lambda s, d: FN.prioritized(finding_rows(s, d), "story").groupBy("story").agg(F.max("rank").alias("last")), f"WITH {FIND} SELECT story, CAST(count(*) AS INTEGER) AS last FROM fd GROUP BY 1")
 register("A18_severity_counts", lambda s, d: FN.severity_counts(finding_rows(s, d), "story"),
     f"WITH {FIND} SELECT story, count(*) FILTER (severity = 'strength') AS strengths, count(*) FILTER (severity = 'concern') AS concerns, count(*) AS total FROM fd GROUP BY 1")
-register("A20_ratings", lambda s, d: FN.ratings(finding_rows(s, d), dims(s)),
-    f"WITH {FIND}, {DIMS}, f AS (SELECT dimension, arg_min(severity, {_RANK} * 1000000000 + finding_id) AS severity FROM fd GROUP BY 1) SELECT dimension, coalesce(severity, 'neutral') AS severity FROM dm LEFT JOIN f USING (dimension)")
-register("A26_verdict", lambda s, d: FN.verdict(finding_rows(s, d).withColumn("story", F.expr("finding_id div 3")), "story"),
-    f"""WITH {FIND}, f AS (SELECT finding_id // 3 AS story, severity, dimension FROM fd) SELECT story, CASE WHEN bool_or(severity = 'concern') THEN 'watch' ELSE 'ship' END AS verdict,
-        coalesce(string_agg(DISTINCT dimension, ',' ORDER BY dimension) FILTER (severity = 'concern'), '') AS drivers FROM f GROUP BY 1""")
-register("Q11_partition", lambda s, d: FN.partitioned(finding_rows(s, d), 5).groupBy("story", "bucket").agg(F.count(F.lit(1)).alias("n")),
-    f"""WITH {FIND} SELECT story, CASE WHEN NOT verified THEN 'ungrounded' WHEN list_contains(cited, 5) THEN 'gate' ELSE 'preexisting' END AS bucket, count(*) AS n FROM fd WHERE severity = 'concern' GROUP BY 1, 2""")
 
 
 def _rep(p):
@@ -156,8 +148,6 @@ register("J17_canon_refs", lambda s, d: finding_rows(s, d).withColumn("slug", F.
 register("U02_distinct_chapters", lambda s, d: physical(s, d).groupBy("entity").agg(F.sort_array(F.collect_set("chapter")).alias("chapters")), f"WITH {PHYS} SELECT entity, list_sort(list(DISTINCT chapter)) AS chapters FROM ps GROUP BY 1")
 register("U04_intersect", lambda s, d: physical(s, d).filter("chapter <= 3").select("entity").intersect(physical(s, d).filter("chapter >= 10").select("entity")), f"WITH {PHYS} SELECT entity FROM ps WHERE chapter <= 3 INTERSECT SELECT entity FROM ps WHERE chapter >= 10")
 register("U05_union_cited", lambda s, d: finding_rows(s, d).select("finding_id", F.array_sort(F.array_union("cited", F.array(F.lit(1), F.lit(2)))).alias("cited")), f"WITH {FIND} SELECT finding_id, list_sort(list_distinct(list_concat(cited, [1, 2]))) AS cited FROM fd")
-register("A21_usage_rollup", lambda s, d: table(s, d, "events").rollup("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 2).alias("tokens")), "SELECT event_type, count(*) AS calls, round(sum(value), 2) AS tokens FROM events GROUP BY ROLLUP (event_type)")
-register("A22_cache_hits", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 5).alias("hits"), F.count_if(F.col("value") <= 5).alias("misses")), "SELECT event_type, count(*) FILTER (value > 5) AS hits, count(*) FILTER (value <= 5) AS misses FROM events GROUP BY 1")
 register("A24_first_seen_order", lambda s, d: history(s, d).groupBy("user_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "state"))), lambda x: x["state"])).alias("states")),
     f"WITH {HIST}, f AS (SELECT user_id, state, min(seq) AS q FROM hs GROUP BY 1, 2) SELECT user_id, list(state ORDER BY q) AS states FROM f GROUP BY 1")
 register("K11_by_prefix", lambda s, d: table(s, d, "part").groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("prefix")).agg(F.count(F.lit(1)).alias("n")), "SELECT split_part(p_name, ' ', 1) AS prefix, count(*) AS n FROM part GROUP BY 1")
