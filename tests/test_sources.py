@@ -60,3 +60,48 @@ def test_sinks(spark, tmp_path):
 @pytest.mark.parametrize("html, want", [("<p>a <b>b</b> c</p><p>d</p>", "a b c d"), ("<html><p>a</p><p>d</p></html>", "a\nd")])
 def test_xhtml(html, want):
     assert " ".join(epub.xhtml_text(html).split(" ")) == want
+
+
+def test_yaml_cards_meta_and_folders(spark, tmp_path):
+    (tmp_path / "canon").mkdir()
+    cards = tmp_path / "canon" / "characters"
+    cards.mkdir()
+    (cards / "ann.json").write_text(json.dumps({"name": "Ann", "dialogue_voice": "terse"}))
+    (cards / "ann.yaml").write_text("slug: ann\nname: Other\ndialogue_voice: loud\n")
+    (cards / "bo.yml").write_text("name: 'Bo'\ndialogue_voice: >\n  slow and\n  formal\nvoice_wildcards:\n  - one\n  - two\n")
+    (cards / "cy.yaml").write_text("name: Cy\n")
+    got = {r.slug: r for r in canon.read_voice_cards(spark, str(cards)).collect()}
+    assert {k: (r.name, r.dialogue_voice, r.voice_wildcards) for k, r in got.items()} == {"ann": ("Ann", "terse", None), "bo": ("Bo", "slow and formal", ["one", "two"])}
+    assert {(r.stem, r.reason) for r in canon.voice_card_warnings(spark, str(cards)).collect()} == {("ann", "slug already taken"), ("cy", "no dialogue_voice")}
+    (tmp_path / "seed.yaml").write_text("title: x\nmeta:\n  genre: crime\n  tags: [a, b]\nmore: y\n")
+    assert canon.read_meta(spark, f"file://{cards}") == {"genre": "crime", "tags": ["a", "b"]}
+    assert canon.find_canon(spark, None, f"file://{tmp_path}/chapters", chapter=2).endswith(f"{tmp_path}/canon")
+    (tmp_path / "checkpoints" / "chapter-002" / "canon").mkdir(parents=True)
+    (tmp_path / "checkpoints" / "chapter-002" / "canon" / "a.json").write_text("{}")
+    assert canon.find_canon(spark, f"file://{tmp_path}", chapter=2).endswith("chapter-002/canon")
+    assert not canon.has_table(spark, f"file://{tmp_path}/vectors") and not canon.has_table(spark, "no_such_table")
+
+
+def test_story_chapters_and_dispatch(spark, tmp_path):
+    (tmp_path / "chapter-002.md").write_bytes(b"two \xff end")
+    (tmp_path / "chapter-1000000.md").write_text("far")
+    (tmp_path / "notes.md").write_text("n")
+    rows = {r.chapter_number: r.content for r in markdown.read_story(spark, str(tmp_path)).collect()}
+    assert set(rows) == {2, 1_000_000} and rows[2].startswith("two ") and rows[2].endswith(" end")
+    assert {r.chapter_number for r in markdown.read_chapters(spark, str(tmp_path)).collect()} == {1, 2, 1_000_000}
+    with pytest.raises(ValueError):
+        markdown.read_chapters(spark, f"{tmp_path}/x.pdf")
+
+
+def test_documents_names_and_briefs(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "gate", i, "a.b", f"row {i}") for i in (2, 1)], "story string, band string, rank int, dimension string, summary string")
+    assert sinks.brief(rows, "story", ["gate", "craft"], 1).first().brief == "## gate\n- **a.b**: row 1\n… 1 more\n\n## craft\n(none)"
+    assert [(r.prefix, [f.rank for f in r.findings]) for r in sinks.by_dimension(rows, "story").collect()] == [("a", [1, 2])]
+    path = f"file://{tmp_path}/doc"
+    assert sinks.load_document(spark, path) is None
+    sinks.save_document(spark.createDataFrame([("k", "{}")], "key string, document string"), path)
+    assert [tuple(r) for r in sinks.load_document(spark, path).collect()] == [("k", "{}")]
+    assert sinks.free_name(spark, f"file://{tmp_path}", "2024-01-02") == "report-2024-01-02.md"
+    (tmp_path / "report-2024-01-02.md").write_text("x")
+    assert sinks.free_name(spark, f"file://{tmp_path}", "2024-01-02") == "report-2024-01-02-2.md"
+    assert sinks.terminal(rows, "Findings").startswith("Findings\n+")
