@@ -1,4 +1,4 @@
-"""Answers of a judge as rows.
+"""Answers of a judge as rows.
 
 A judge is any function from a column of prompts to a column of answers; `stub_judge` answers nothing to find. What an
 answer means is worked out here: the JSON in it, rows with defaults, one row that says so where there is none.
@@ -178,6 +178,50 @@ def demoted(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity", F.when((F.col("severity") == "concern") & (empty | F.coalesce(soft, F.lit(False))), "neutral").otherwise(F.col("severity")))
 
 
+def without_evidence() -> Column:
+    """N07."""
+    return F.trim(F.coalesce("evidence", F.lit(""))) == ""
+
+
+def repetition_concern() -> Column:
+    """N07."""
+    return (F.col("dimension") == "prose.repetition") & (F.col("severity") == "concern")
+
+
+def normal_rows(rows: DataFrame, kinds: list[str], default: str, texts: list[str]) -> DataFrame:
+    """Rows of a detector with known kinds and severities only, and null for blank texts."""
+    known = F.when(F.col("kind").isin(kinds), F.col("kind")).otherwise(default)
+    severity = F.when(F.col("severity").isin("high", "moderate", "low"), F.col("severity")).otherwise("low")
+    return rows.withColumns({"kind": known, "severity": severity} | {c: F.nullif(F.trim(c), F.lit("")) for c in texts})
+
+
+def to_rewrite(findings: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The first concerns with evidence, by rank."""
+    rows = findings.filter((F.col("severity") == "concern") & ~without_evidence())
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("rank"))).filter(F.col("n") <= most)
+
+
+def to_recover(chapters: DataFrame, key: str, focus: Column | int, most: int = 3, calls: int = 5) -> DataFrame:
+    """The chapters in which to look again for a quote: the focus, then the nearest, the earlier of two; at most
+    `most` chapters of a finding and `calls` in all of a key. chapters: key, finding_id, chapter."""
+    order = [F.col("chapter") != focus, F.abs(F.col("chapter") - focus), F.col("chapter")]
+    near = chapters.withColumn("try", F.row_number().over(Window.partitionBy(key, "finding_id").orderBy(*order))).filter(F.col("try") <= most)
+    return near.withColumn("call", F.row_number().over(Window.partitionBy(key).orderBy("finding_id", "try"))).filter(F.col("call") <= calls)
+
+
+def context_under(sheets: Column, excerpt: Column, ceiling: int) -> Column:
+    """Sheets first, then excerpts as far as the ceiling leaves room."""
+    room = F.lit(ceiling) - F.length(sheets) - 2
+    return F.when(room > 0, F.concat(sheets, F.lit("\n\n"), F.left(excerpt, room))).otherwise(F.left(sheets, F.lit(ceiling)))
+
+
+def finding_lines(findings: DataFrame, key: str) -> DataFrame:
+    """Key, block: findings as the lines of a prompt, in order of rank."""
+    line = F.concat(F.lit("- ["), "severity", F.lit("] "), "dimension", F.lit(": "), "summary", F.when(F.coalesce("chapter_ref", F.lit("")) != "", F.concat(F.lit(" (ch "), "chapter_ref", F.lit(")"))).otherwise(""))
+    held = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return held.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
+
+
 def ranked(findings: DataFrame, key: str) -> DataFrame:
     """Findings with defaults, in order of severity, certainty and dimension, ranked anew."""
     rank = F.when(F.col("severity") == "concern", 0).when(F.col("severity") == "neutral", 1).otherwise(2)

@@ -1,4 +1,4 @@
-"""Rare and common words that come too often."""
+"""Rare and common words that come too often."""
 
 from __future__ import annotations
 
@@ -82,6 +82,18 @@ def common_words(hits: DataFrame, rare: DataFrame, keys: list[str], load_bearing
     return kept.filter(over).select(*keys, "lemma", "count", S.severity(F.col("count"), 8, 6).alias("severity"))
 
 
+def content_tokens(toks: DataFrame) -> DataFrame:
+    """Tokens with their normalised form; those that have none go."""
+    return toks.withColumn("norm", S.norm_token(F.col("tok"))).filter("norm <> ''")
+
+
+def procedural(columns: list[str]) -> Column:
+    """a phrase of numbers and units: a number or a unit first and a unit last, or nothing but these."""
+    units = [*L.SI_UNITS, "pace", "paces"]
+    shaped = [F.col(c).isin([*L.NUMBER_WORDS, *units]) for c in columns]
+    return (F.col(columns[-1]).isin(units) & shaped[0]) | F.forall(F.array(*shaped), lambda x: x)
+
+
 def phrases(toks: DataFrame, keys: list[str]) -> DataFrame:
     """Two and three neighbouring normalised tokens, at most two characters apart and in one sentence."""
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -89,10 +101,8 @@ def phrases(toks: DataFrame, keys: list[str]) -> DataFrame:
     rows = toks.withColumn("norm", S.norm_token(F.col("tok")))
     rows = rows.withColumns({"n2": F.lead("norm", 1).over(w), "n3": F.lead("norm", 2).over(w), "near2": near(1), "near3": near(2)})
     good = lambda c: (F.length(c) >= 3) & ~F.col(c).isin(L.STOP_WORDS)
-    units = [*L.SI_UNITS, "pace", "paces"]
-    si = lambda cols: (F.col(cols[-1]).isin(units) & (F.col(cols[0]).isin([*L.NUMBER_WORDS, *units]))) | F.array_min(F.array(*[F.col(c).isin([*L.NUMBER_WORDS, *units]) for c in cols]))
-    two = rows.filter(F.col("near2") & good("norm") & good("n2") & ~si(["norm", "n2"])).select(*keys, "pos", "tok", F.concat_ws(" ", "norm", "n2").alias("phrase"))
-    three = rows.filter(F.col("near2") & F.col("near3") & good("norm") & good("n2") & good("n3") & ~si(["norm", "n2", "n3"]))
+    two = rows.filter(F.col("near2") & good("norm") & good("n2") & ~procedural(["norm", "n2"])).select(*keys, "pos", "tok", F.concat_ws(" ", "norm", "n2").alias("phrase"))
+    three = rows.filter(F.col("near2") & F.col("near3") & good("norm") & good("n2") & good("n3") & ~procedural(["norm", "n2", "n3"]))
     return two.unionByName(three.select(*keys, "pos", "tok", F.concat_ws(" ", "norm", "n2", "n3").alias("phrase")))
 
 

@@ -68,3 +68,22 @@ register("J19_enriched", lambda s, d: J.enriched(findings(s, d), better(s, d)).s
 register("L03_judged", lambda s, d: J.judged(answers(s, d).select("doc_id", F.col("findings").alias("prompt")), "prompt", "prose", lambda c: c).groupBy("dimension").agg(F.count(F.lit(1)).alias("n")),
     "WITH a AS (SELECT doc_id % 7 AS k FROM documents) SELECT CASE WHEN k < 3 THEN 'consistency.timeline' ELSE 'prose.general' END AS dimension, CAST(sum(CASE k WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END) AS BIGINT) AS n FROM a WHERE k <> 3 GROUP BY 1")
 register("L01_fact_sheets", lambda s, d: J.fact_sheets(answers(s, d).select("doc_id", F.col("object").alias("prompt")), "prompt", lambda c: c).agg(F.count(F.lit(1)).alias("sheets"), F.count_if("sheet.parse_failed").alias("failed")), "SELECT count(*) AS sheets, count(*) FILTER (doc_id % 7 >= 3) AS failed FROM documents")
+
+
+def retries(s, d):
+    return table(s, d, "lineitem").select(F.expr("l_orderkey % 50").alias("story"), F.col("l_orderkey").alias("finding_id"), F.col("l_linenumber").cast("int").alias("chapter")).distinct()
+
+
+register("O14_recovery_order", lambda s, d: J.to_recover(retries(s, d), "story", 4).select("story", "call", "finding_id", "chapter"),
+    """WITH c AS (SELECT DISTINCT l_orderkey % 50 AS story, l_orderkey AS finding_id, CAST(l_linenumber AS INTEGER) AS chapter FROM lineitem),
+       t AS (SELECT *, row_number() OVER (PARTITION BY story, finding_id ORDER BY chapter <> 4, abs(chapter - 4), chapter) AS try FROM c),
+       k AS (SELECT *, CAST(row_number() OVER (PARTITION BY story ORDER BY finding_id, try) AS INTEGER) AS call FROM t WHERE try <= 3) SELECT story, call, finding_id, chapter FROM k WHERE call <= 5""")
+register("L14_rewrites", lambda s, d: J.to_rewrite(J.ranked(findings(s, d), "story"), "story").select("story", "n", "finding_id"),
+    f"""WITH {FIND}, r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY coalesce(certainty, 0) DESC, dimension, finding_id) AS o FROM jf WHERE severity = 'concern' AND finding_id % 3 > 0)
+        SELECT story, CAST(o AS INTEGER) AS n, finding_id FROM r WHERE o <= 5""")
+register("N07_predicates", lambda s, d: findings(s, d).select("finding_id", J.without_evidence().alias("empty"), J.repetition_concern().alias("repetition")), "SELECT event_id AS finding_id, event_id % 3 = 0 AS empty, false AS repetition FROM events WHERE event_id % 5 < 3 UNION ALL SELECT event_id, event_id % 3 = 0, CASE WHEN false THEN true ELSE false END FROM events WHERE event_id % 5 >= 3")
+register("N13_normal_rows", lambda s, d: J.normal_rows(table(s, d, "part").select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN 'card_collapse' WHEN 1 THEN 'odd' END").alias("kind"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'dire' END").alias("severity"), F.expr("CASE WHEN p_partkey % 5 = 0 THEN '  ' ELSE p_name END").alias("quote")), ["card_collapse"], "card_mismatch", ["quote"]),
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'card_collapse' ELSE 'card_mismatch' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS severity, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS quote FROM part")
+register("N15_finding_lines", lambda s, d: J.finding_lines(J.ranked(findings(s, d), "story").filter("rank <= 5"), "story"),
+    f"""WITH {FIND}, r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY {_R}, coalesce(certainty, 0) DESC, dimension, finding_id) AS o FROM jf)
+        SELECT story, string_agg('- [' || coalesce(severity, 'neutral') || '] ' || dimension || ': was (ch 1)', chr(10) ORDER BY o) AS block FROM r WHERE o <= 5 GROUP BY 1""")

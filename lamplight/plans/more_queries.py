@@ -44,7 +44,7 @@ register("J09_alias_collisions", lambda s, d: table(s, d, "part").select("p_part
 
 
 def top(name, cap, order, sql):
-    """The first rows of each story in an order of its own; windows stop at the cap."""
+    """The first rows of each story in an order of its own; windows stop at the cap."""
     register(name, lambda s, d: finding_rows(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("story").orderBy(*order()))).filter(F.col("rank") <= cap).select("story", "rank", "finding_id"),
         f"WITH {FIND}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY story ORDER BY {sql}) AS INTEGER) AS rank FROM fd) SELECT story, rank, finding_id FROM r WHERE rank <= {cap}")
 
@@ -52,11 +52,9 @@ def top(name, cap, order, sql):
 _S = "CASE severity WHEN 'concern' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END"
 for _name, _cap, _by in [
     ("O05_repetition_cap", 40, "certainty DESC, finding_id"), ("O06_companion_cap", 25, "certainty DESC, verified DESC, finding_id"), ("O07_pattern_cap", 20, "certainty DESC, finding_id"),
-    ("O08_register_cap", 15, "dimension, finding_id"), ("O09_voice_cap", 15, "verified DESC, finding_id"), ("O12_location_cap", 8, "finding_id"), ("O16_shape_cap", 3, "finding_id"),
+    ("O09_voice_cap", 15, "verified DESC, finding_id"), ("O12_location_cap", 8, "finding_id"), ("O16_shape_cap", 3, "finding_id"),
 ]:
     top(_name, _cap, lambda by=_by: [F.expr(_S), *[F.expr(x.removesuffix(" DESC")).desc() if x.endswith(" DESC") else F.expr(x) for x in by.split(", ")]], f"{_S}, {_by}")
-register("O14_recovery_order", lambda s, d: physical(s, d).select("chapter").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.col("chapter") != 7, F.abs(F.lit(7) - F.col("chapter")), "chapter"))).filter("rank <= 3"),
-    f"WITH {PHYS}, c AS (SELECT DISTINCT chapter FROM ps) SELECT * FROM (SELECT chapter, CAST(row_number() OVER (ORDER BY chapter <> 7, abs(7 - chapter), chapter) AS INTEGER) AS rank FROM c) WHERE rank <= 3")
 register("R13_order_warnings", lambda s, d: history(s, d).withColumn("mark", F.max("chapter").over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))).select("user_id", "seq", F.when(F.col("mark").isNull() | (F.col("chapter") == F.col("mark") + 1), "next").when(F.col("chapter") <= F.col("mark"), "regression").otherwise("skip").alias("kind")),
     f"WITH {HIST}, m AS (SELECT *, max(chapter) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM hs) SELECT user_id, seq, CASE WHEN mark IS NULL OR chapter = mark + 1 THEN 'next' WHEN chapter <= mark THEN 'regression' ELSE 'skip' END AS kind FROM m")
 register("N03_unit_hits", lambda s, d: finding_rows(s, d).select("finding_id", F.explode(F.array_distinct("cited")).alias("chapter")), f"WITH {FIND} SELECT finding_id, unnest(list_distinct(cited)) AS chapter FROM fd")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamplight.functions import lexicons as L
+from lamplight.operators import register as coined
 from lamplight.operators import repetition as R
 from lamplight.operators import reports as RP
-from lamplight.operators import voice
+from lamplight.operators import thrash, voice
 from lamplight.plans.registry import register
 from lamplight.plans.scalar_queries import sentences
 from lamplight.plans.views import chapters, dialogue, table
@@ -98,3 +99,13 @@ def _spoken(s, d):
 
 
 register("F19_spoken", _spoken, f"SELECT unnest({_LINES}) AS line, unnest([true, false, true, true, true, true]) AS spoken")
+
+
+def coined_chapters(s, d):
+    return chapters(s, d).select(*KEY, F.replace(F.replace("content", F.lit(" the "), F.lit("-the-")), F.lit(" que "), F.lit(" *que* ")).alias("content"))
+
+
+register("Q05_register_findings", lambda s, d: coined.register_findings(coined_chapters(s, d)))
+register("O08_register_cap", lambda s, d: coined.register_cap(coined.register_findings(coined_chapters(s, d))).select("manuscript", "rank", "chapter_number", "kind", "severity", "normalized_key"))
+register("F06_procedural", lambda s, d: table(s, d, "part").select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN 'two' WHEN 1 THEN 'mile' ELSE 'red' END").alias("a"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'miles' ELSE 'ten' END").alias("b")).select("p_partkey", thrash.procedural(["a", "b"]).alias("si")),
+    "SELECT p_partkey, p_partkey % 3 < 2 AS si FROM part")
