@@ -38,11 +38,16 @@ def content_hits(toks: DataFrame) -> DataFrame:
     return toks.filter(~name).withColumn("lemma", S.lemma(F.col("tok")))
 
 
-def lexicon(hits: DataFrame) -> DataFrame:
-    """A Zipf lexicon of a corpus: log10 of occurrences in a thousand million."""
-    counts = hits.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).select("lemma", F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6).alias("zipf"))
+def lemma_counts(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lemma, count: what lexicon and carpets are made of; texts are read once for both."""
+    return hits.groupBy(*keys, "lemma").agg(F.count(F.lit(1)).alias("count"))
+
+
+def lexicon(counts: DataFrame) -> DataFrame:
+    """A Zipf lexicon of a corpus, from the counts of its lemmas: log10 of occurrences in a thousand million."""
+    sums = counts.groupBy("lemma").agg(F.sum("count").alias("n"))
+    total = counts.agg(F.sum("count").alias("total"))
+    return sums.join(F.broadcast(total)).select("lemma", F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6).alias("zipf"))
 
 
 def uncommon(lex: DataFrame, common: list[str] | None = None, below: float = RARE_BELOW) -> DataFrame:
@@ -72,10 +77,9 @@ def capped(rows: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
 
 
-def common_words(hits: DataFrame, rare: DataFrame, keys: list[str], load_bearing: list[str] = ()) -> DataFrame:
-    """A09 with J02, M02, M03."""
+def common_words(counts: DataFrame, rare: DataFrame, keys: list[str], load_bearing: list[str] = ()) -> DataFrame:
+    """A09 with J02, M02, M03, from lemma_counts."""
     exempt = sorted({*L.EXEMPT_WORDS, *L.SI_UNITS, *L.SAID_FAMILY, *L.fancy_tags()})
-    counts = hits.groupBy(*keys, "lemma").agg(F.count(F.lit(1)).alias("count"))
     words = counts.groupBy(*keys).agg(F.sum("count").alias("words"))
     kept = counts.filter((F.length("lemma") >= 3) & (F.col("count") >= 4) & ~F.col("lemma").isin(exempt)).join(rare, "lemma", "left_anti").join(words, keys)
     over = S.over_threshold(F.col("count"), F.col("words"), F.col("lemma").isin(list(load_bearing) or [""]))

@@ -29,7 +29,7 @@ def _scene_hits(s, d):
 
 
 def _rare(s, d):
-    return T.uncommon(T.lexicon(_hits(s, d)))
+    return T.uncommon(T.lexicon(T.lemma_counts(_hits(s, d), KEY)))
 
 
 def _within(s, d):
@@ -114,7 +114,7 @@ _COMMON = f"""cnt AS (SELECT manuscript, chapter_number, lemma, count(*) AS coun
     cw AS (SELECT *, sum(count) OVER (PARTITION BY manuscript, chapter_number) AS words FROM cnt),
     common AS (SELECT manuscript, chapter_number, lemma, count, CASE WHEN count >= 8 THEN 'high' WHEN count >= 6 THEN 'moderate' ELSE 'low' END AS severity FROM cw
       WHERE length(lemma) >= 3 AND lemma NOT IN ({_EX}) AND lemma NOT IN (SELECT lemma FROM rare) AND (count >= 6 OR (words >= 1000 AND count >= 4 AND count * 1000.0 / words >= 1.2)))"""
-register("A09_common_word", lambda s, d: T.common_words(_hits(s, d), _rare(s, d), KEY), f"WITH {HITS}, {RARE}, {_COMMON} SELECT * FROM common")
+register("A09_common_word", lambda s, d: T.common_words(T.lemma_counts(_hits(s, d), KEY), _rare(s, d), KEY), f"WITH {HITS}, {RARE}, {_COMMON} SELECT * FROM common")
 register(
     "J02_exempt_anti_join",
     lambda s, d: _hits(s, d).join(F.broadcast(L.words(s, [*L.EXEMPT_WORDS, *L.SI_UNITS])), "lemma", "left_anti").groupBy("manuscript").agg(F.count(F.lit(1)).alias("n")),
@@ -178,7 +178,7 @@ def all_rows(s, d):
         shape(within, "within_scene", 0, [*KEY, "scene", "lemma"]),
         shape(T.cross_chapter(within, chap), "cross_chapter", 1, ["manuscript", "lemma"]),
         shape(only, "chapter_rare", 2, [*KEY, "lemma"]),
-        shape(T.common_words(_hits(s, d), _rare(s, d), KEY), "common_word", 3, [*KEY, "lemma"]),
+        shape(T.common_words(T.lemma_counts(_hits(s, d), KEY), _rare(s, d), KEY), "common_word", 3, [*KEY, "lemma"]),
         shape(T.phrase_rows(_grams(s, d), KEY), "phrase", 4, [*KEY, "phrase"]),
     ]
     out = parts[0]

@@ -15,9 +15,8 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     in the window; the texts join by id."""
     docs = table(spark, sf_dir, "documents")
     number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select(
-        F.col("source").alias("manuscript"), number.alias("chapter_number"), "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content")
-    )
+    numbers = docs.select("source", "doc_id").select("doc_id", number.alias("chapter_number"))
+    return docs.join(numbers, "doc_id").select(F.col("source").alias("manuscript"), "chapter_number", "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
 
 
 CHAPTERS = """chapters AS (SELECT source AS manuscript, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS chapter_number,
