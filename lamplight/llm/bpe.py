@@ -31,7 +31,7 @@ WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 CHUNK = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 END = "</w>"
 #: Bytes of keys and values in a generation of results kept between batches (the objects around them cost more).
-CACHE_BYTES = 6_000_000
+CACHE_BYTES = 4_000_000
 #: Pairs of tokens whose border is remembered.
 CACHE_PAIRS = 400_000
 #: Bytes of text that are encoded together; their results leave as one batch. A longer text stands alone.
@@ -208,6 +208,11 @@ class WordBPE:
                 out += self.split(part)
         return out
 
+    def forget(self) -> None:
+        """Drop what is kept between runs; the worker that held it may serve other stages for long."""
+        self.words, self.chunks = Generations(), Generations()
+        self._fit.clear()
+
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers.
 
@@ -261,16 +266,20 @@ def _encoded(path: str, digests: bool, decoded: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            for part in pieces(batch, 1, RUN_BYTES):
-                counts, ids, said = [], [], []
-                for packed in bpe.encode_texts(["" if t is None else t for t in part.column(1).to_pylist()]):
-                    counts.append(len(packed) // 4)
-                    ids.append(shown(packed))
-                    if decoded:
-                        said.append(shown(bpe.decode(packed)))
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, kind)]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(said, kind)] if decoded else [])], ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])])
+        try:
+            for batch in batches:
+                for part in pieces(batch, 1, RUN_BYTES):
+                    counts, ids, said = [], [], []
+                    for packed in bpe.encode_texts(["" if t is None else t for t in part.column(1).to_pylist()]):
+                        counts.append(len(packed) // 4)
+                        ids.append(shown(packed))
+                        if decoded:
+                            said.append(shown(bpe.decode(packed)))
+                    columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, kind)]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array(said, kind)] if decoded else [])], ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])])
+        finally:
+            bpe.forget()
+            pa.default_memory_pool().release_unused()
 
     return run
 
