@@ -18,14 +18,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import is_fold, pieces
+from lamplight.llm.common import cut, is_fold, pieces
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most labelled rows of either class that training takes: those whose ids hash lowest.
 SAMPLE_ROWS = 3000
+#: Most bytes of their texts, of either class; a text over an eighth of it is passed over in training.
+SAMPLE_BYTES = 12_000_000
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, REACH = 4, 0.006, 1.5, 6
 THRESHOLD = 0.7
@@ -225,16 +227,21 @@ def train(sample: list[tuple[str, int]], totals: tuple[int, int]) -> Chain:
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """Train on at most sample_rows labelled rows of either class, none of them held out (crc32 of the id as text,
-    modulo 3, being 1). The ids are chosen from the labels alone; only their texts are fetched."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """Train on at most sample_rows labelled rows, and sample_bytes of text, of either class, none of them held out (crc32
+    of the id as text, modulo 3, being 1). The ids are chosen from the labels alone, by a hash; of them those come first
+    whose texts fit, and only these whole texts are fetched."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~is_fold("doc_id", 3, 1))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [known.filter(F.col("toxic") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("_id"), "toxic")  # 2 * sample_rows ids at most
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    held = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    sizes = held.groupBy("doc_id").agg(F.max("size").alias("size"), F.max("toxic").alias("toxic"))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    few = cut(sizes.filter(F.col("size") <= sample_bytes // 8).withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select(F.col("doc_id").alias("_id"), "toxic"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
     rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([(r["text"], int(r["toxic"])) for r in rows], (counts.get(0, 0), counts.get(1, 0)))
