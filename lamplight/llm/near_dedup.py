@@ -220,7 +220,7 @@ def _confirm(per_cent: int):
                 small = min(len(x), len(y)) * 100 >= per_cent * max(len(x), len(y))
                 inter = len(np.intersect1d(x, y, assume_unique=True)) if small else 0
                 linked.append(small and 100 * inter >= per_cent * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), batch.column(4)], ["a", "b", "linked", "key"])
 
     return run
 
@@ -269,24 +269,51 @@ def _link_region(per_cent: int):
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct unordered pairs (a < b) of the columns x and y."""
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for all ids on the edges (a, b). Labels spread to neighbours and
-    jump to their labels' labels, so the rounds grow with the logarithm of a component's width."""
-    both = cut(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    while True:
-        heard = both.join(labels, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "component")
-        near = heard.unionByName(labels).groupBy("id").agg(F.min("component").alias("component"))
-        up = labels.select(F.col("id").alias("_of"), F.col("component").alias("_far"))
-        after = cut(near.join(up, F.col("component") == F.col("_of"), "left").select("id", F.least("component", F.coalesce("_far", "component")).alias("component")))
-        still = after.join(labels.withColumnRenamed("component", "_was"), "id").filter("component <> _was").isEmpty()
-        labels = after
-        if still:
-            return labels
+    """Distinct unordered pairs (a < b) of the columns x and y, each with the least key of a region that it comes from."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key").filter("a < b").groupBy("a", "b").agg(F.min("key").alias("key"))
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a batch -> as many stars as they have components, each around its smallest id. What is connected stays so."""
+    for batch in batches:
+        root: dict[int, int] = {}
+
+        def top(x: int, root: dict[int, int] = root) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+        ends = [(top(x), x) for x in list(root)]
+        stars = [(t, x) for t, x in ends if t != x]
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in stars], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def components(edges: DataFrame, by: str) -> DataFrame:
+    """(id, component): the smallest id reachable, for all ids on the edges (a, b). Edges of one value of `by` come together in
+    order and are contracted batch by batch, so a chain along a region is a star at once. Then, round by round, every id
+    points to its smallest neighbour, and edges are lifted to what their ends point to; only ids smaller than all
+    their neighbours go on, so the graph shrinks by a factor in each round. The pointers of all rounds make the labels."""
+    keyed = edges.withColumn("_by", F.col(by)).repartition("_by").sortWithinPartitions("_by", "a", "b")
+    left = cut(keyed.select("a", "b").mapInArrow(_contracted, "a long, b long").distinct())
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("id"), F.col("b").alias("to")))
+        up = ends.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to"))
+        step = cut(up.join(up.select(F.col("id").alias("_id"), F.col("to").alias("_far")), F.col("to") == F.col("_id")).select("id", F.col("_far").alias("to")))
+        rounds.append(step)
+        lifted = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        pairs = lifted.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left = cut(pairs.repartition("a").mapInArrow(_contracted, "a long, b long").distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    found = rounds[-1]
+    for step in reversed(rounds[:-1]):
+        found = step.join(found.select(F.col("id").alias("to"), F.col("to").alias("_up")), "to", "left").select("id", F.coalesce("_up", "to").alias("to"))
+    return cut(found.select("id", F.col("to").alias("component")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 80, block: int = REGION_BLOCK) -> DataFrame:
@@ -310,19 +337,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = cut(rows.select("id", "text").join(members, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct())
 
     # each text with the neighbour of the longest common prefix, and with its neighbour in the region of the least key
-    tried = runs.filter("before <> id").groupBy("id").agg(F.max(F.struct("common", "before")).alias("near"), F.min(F.struct("key", "before")).alias("chain"))
-    pairs = _pairs(tried.select(F.col("id").alias("x"), F.explode(F.array("near.before", "chain.before")).alias("y")))
+    tried = runs.filter("before <> id").groupBy("id").agg(F.max(F.struct("common", "before", "key")).alias("near"), F.min(F.struct("key", "before")).alias("chain"))
+    pairs = _pairs(tried.select(F.col("id").alias("x"), F.explode(F.array(*[F.struct(F.col(f"{c}.before").alias("y"), F.col(f"{c}.key").alias("key")) for c in ("near", "chain")])).alias("p")).select("x", "p.y", "p.key"))
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-    tried = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_confirm(per_cent), "a long, b long, linked boolean")
-    edges = cut(tried.filter("linked").select("a", "b"))
-    found = components(edges)
+    tried = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t", "key").mapInArrow(_confirm(per_cent), "a long, b long, linked boolean, key long")
+    found = components(tried.filter("linked").select("a", "b", "key"), "key")
 
     # then the regions that still fall apart: components that share one are joined, and their sets meet once
     marked = runs.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).distinct()
     split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "lo")
     apart = cut(marked.join(split, "key").select("id", "component", "lo").distinct())
-    regions = components(apart.filter("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("region"))
+    regions = components(apart.filter("component <> lo").select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct(), "b").select(F.col("id").alias("component"), F.col("component").alias("region"))
     held = apart.select("id", "component").distinct().join(regions, "component").join(classes.groupBy("id").agg(F.sum("shingles_in").alias("n")), "id")
     sizes = held.groupBy("region").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     placed = held.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -331,7 +357,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "component", "shingles")
     )
     more = sent.groupBy("region", "low", "high").applyInArrow(_link_region(per_cent), "a long, b long")
-    found = components(edges.unionByName(more))
+    joined = found.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    found = components(joined.unionByName(more), "a")
 
     known = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), "size")
     out = join_groups(marks.select("id", "n_shingles", "nameless", F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).alias("digest")), known, "digest", "size", "id", total)
