@@ -260,6 +260,21 @@ def test_near_dedup(spark, docs, block):
         assert (r.component_id, r.n_shingles, r.kept) == (label[r.doc_id], sizes[r.doc_id], r.doc_id == label[r.doc_id]), r.doc_id
 
 
+def test_components_of_chains_stars_and_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    names = rng.sample(range(10_000), 1300)
+    chain = list(zip(names[:900], names[1:900], strict=False))
+    star = [(names[900], x) for x in names[901:1200]]
+    pairs = list(zip(names[1200::2], names[1201::2], strict=True))
+    edges = [(min(e), max(e), rng.randrange(40)) for e in chain + star + pairs]
+    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long, key long"), "key").collect()}
+    want = dict.fromkeys(names[:900], min(names[:900])) | dict.fromkeys(names[900:1200], min(names[900:1200])) | {x: min(e) for e in pairs for x in e}
+    assert got == want
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long, key long"), "key").collect() == []
+
+
 def test_forest_finds_pairs_at_the_threshold(spark):
     """Recall of the candidates, measured on pairs of sets whose similarity is 0.8 or just above."""
     import numpy as np
