@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamplight.functions import lexicons as L
+from lamplight.functions.likeness import Texts
 
 
 def terms(texts: DataFrame, keys: list[str], content: str = "content", stop: list[str] | None = None) -> DataFrame:
@@ -75,30 +77,47 @@ def attribution(texts: DataFrame, key: str, forms: DataFrame, content: str = "co
     return found.groupBy(key, F.col("counted").alias("tag")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("a") != "").alias("adverbs")).withColumn("adverb_heavy", F.col("adverbs") > 0.3 * F.col("count"))
 
 
-def band_pairs(sentences: DataFrame, key: str, width: int = 19, ratio: float = 0.70) -> DataFrame:
-    """Sentences of four words or more that are much like one of the `width` that follow. Sentences of
-    a text stream by in order with the last `width` held, so nothing is joined; lengths rule out most pairs."""
+def band_pairs(sentences: DataFrame, key: str, width: int = 19, ratio: float = 0.70, examples: bool = False) -> DataFrame:
+    """Sentences of four words or more that are much like one of the `width` that follow; with examples, both
+    sentences too. Sentences of a text stream by in order with the last `width` held, so nothing is joined. Lengths, letters
+    and common subsequences, for a batch at a time, rule out most pairs; what is left is compared."""
+    columns = [key, "pos_a", "pos_b", "similarity", *(["a", "b"] if examples else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
-        now, held = None, []
+        held = None
         for batch in batches:
+            batch = batch[[len(t.split()) >= 4 for t in batch["sentence"]]]
+            old = 0 if held is None else len(held)
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            keys, pos, said = rows[key].to_numpy(), rows["pos"].to_numpy(), rows["sentence"].tolist()
+            low = [t.lower() for t in said]
+            size, texts, pairs = np.array([len(t) for t in said]), Texts(low), []
+            for k in range(1, len(rows)):
+                b = np.arange(max(k, old), len(rows))
+                b = b[(keys[b] == keys[b - k]).astype(bool) & (pos[b] - pos[b - k] <= width)]
+                if not len(b):
+                    break
+                pairs.append((b - k, b))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            fit = 2 * np.minimum(size[a], size[b]) >= ratio * (size[a] + size[b])
+            a, b = a[fit], b[fit]
+            for bound in (texts.shared, texts.common):
+                fit = 2.0 * bound(a, b) >= ratio * (texts.sizes[a] + texts.sizes[b]) - 1e-6
+                a, b = a[fit], b[fit]
             out = []
-            for k, pos, text in zip(batch[key], batch["pos"], batch["sentence"], strict=True):
-                if k != now:
-                    now, held = k, []
-                held = [h for h in held if pos - h[0] <= width]
-                if len(text.split()) >= 4:
-                    for before, other in held:
-                        if 2 * min(len(text), len(other)) < ratio * (len(text) + len(other)):
-                            continue
-                        m = SequenceMatcher(None, other.lower(), text.lower())
-                        if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and (r := m.ratio()) >= ratio:
-                            out.append((k, before, pos, round(r, 4)))
-                    held.append((pos, text))
-            yield pd.DataFrame(out, columns=[key, "pos_a", "pos_b", "similarity"])
+            for j in np.lexsort((a, b)):
+                x, y = low[a[j]], low[b[j]]
+                r = 1.0 if x == y and len(y) < 200 else SequenceMatcher(None, x, y).ratio()  # from 200 on it may know no letters
+                if r >= ratio:
+                    out.append((keys[b[j]], pos[a[j]], pos[b[j]], round(r, 4), *((said[a[j]], said[b[j]]) if examples else ())))
+            yield pd.DataFrame(out, columns=columns)
+            last = len(rows) - 1
+            held = rows[(keys == keys[last]).astype(bool) & (pos[last] - pos <= width)]
 
     kind = sentences.schema[key].dataType.simpleString()
-    ordered = sentences.repartition(key).sortWithinPartitions(key, "pos")
-    return ordered.mapInPandas(run, f"{key} {kind}, pos_a int, pos_b int, similarity double")
+    ordered = sentences.select(key, "pos", "sentence").repartition(key).sortWithinPartitions(key, "pos")
+    return ordered.mapInPandas(run, f"{key} {kind}, pos_a int, pos_b int, similarity double" + ", a string, b string" * examples)

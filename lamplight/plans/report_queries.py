@@ -24,7 +24,7 @@ def _held(s, d, grams):
 def _patterns(s, d):
     said = sentences(table(s, d, "documents")).join(chapters(s, d).select(*KEY, "doc_id"), "doc_id")
     text = said.select("doc_id", "pos", "sentence")
-    near = R.band_pairs(text, "doc_id").join(text.select("doc_id", F.col("pos").alias("pos_a"), F.col("sentence").alias("a")), ["doc_id", "pos_a"]).join(text.select("doc_id", F.col("pos").alias("pos_b"), F.col("sentence").alias("b")), ["doc_id", "pos_b"])
+    near = R.band_pairs(text, "doc_id", examples=True)
     place = chapters(s, d).select(*KEY, "doc_id")
     return RP.patterns(R.openings(text, "doc_id").join(place, "doc_id"), near.select("doc_id", "similarity", F.array("a", "b").alias("examples")).join(place, "doc_id"), R.monotony(text, "doc_id").join(place, "doc_id"))
 
