@@ -4,7 +4,7 @@ A text is normalised to lower-case words of letters and digits and cut into wind
 from each other, so each window holds two five-word shingles and each shingle lies in one window. Templates are
 cut into all their runs of one and two shingles. A window that holds a template shingle therefore has a Jaccard
 similarity of at least 1/2 with one of the template's runs; with 14 bands of one row each it shares a band with
-probability 1 - 2^-14 at least. Only windows of which a shingle is set in a bitmap of all template shingles are
+probability 1 - 2^-14 at least. Only windows of which a shingle is set in a Bloom filter of all template shingles are
 banded; the others could not count. Retrieved windows count for a template only by shingles that are its own, and a
 text matches a template when it holds at least 0.8 of the template's distinct shingles, and all of those that tell
 versions and kinds apart (EXACT). A template of fewer than five words counts as one shingle, found where its words stand.
@@ -23,9 +23,12 @@ from lamplight.llm.common import counted
 
 SHINGLE, WINDOW, BANDS, CONTAINED = 5, 2, 14, 0.8
 #: Most distinct shingles of all templates together for which a bitmap is compiled into the filter; beyond it all windows
-#: are banded, which costs time but no match.
+#: are banded, which costs time and disk but no match.
 MOST_TEMPLATE_SHINGLES = 20_000
 BITMAP = 1 << 20
+#: Parts of a hash (shifts) that are set in the bitmap, each on its own. With one, a window in 25 passed by chance and was
+#: written out 14 times; with three, one in some thousands.
+PROBES = (0, 20, 40)
 #: Shingles that a text must hold without exception; in templates of up to NOTICE words, any with a digit also.
 EXACT, NOTICE = "(^| )((version|v) ?[0-9]|gnu general|lesser|affero|sharealike|noncommercial|noderivatives)", 25
 
@@ -127,14 +130,29 @@ def _grams(words: list[str]) -> list[tuple[str, bool]]:
 
 
 def _bitmap(hashes: list[int]) -> str:
-    """SQL for an array of 64-bit words with bit h modulo BITMAP set for each hash."""
+    """SQL for an array of 64-bit words with the bit of each probe of each hash set."""
     longs = [0] * (BITMAP // 64)
     for h in hashes:
-        at = h & (BITMAP - 1)
-        longs[at >> 6] |= 1 << (at & 63)
+        for probe in PROBES:
+            at = (h >> probe) & (BITMAP - 1)
+            longs[at >> 6] |= 1 << (at & 63)
     return "CAST(split('" + ",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs) + "', ',') AS array<bigint>)"
 
 
+def _in_bitmap(bits: str, h: str) -> str:
+    """SQL for whether all probes of a hash are set; mostly the first says no."""
+    probed = (f"shiftright({h}, {probe})" for probe in PROBES)
+    return "(" + " AND ".join(f"(shiftright({bits}[CAST(shiftright({p} & {BITMAP - 1}, 6) AS INT)], CAST({p} & 63 AS INT)) & 1) = 1" for p in probed) + ")"
+
+
+def _suspected(windows: DataFrame, hashes: list[int]) -> DataFrame:
+    """Windows (a, b, ...) of which a shingle may be one of the hashes; none that is goes."""
+    if len(hashes) > MOST_TEMPLATE_SHINGLES:
+        return windows
+    bits = _bitmap(hashes)
+    return windows.filter(F.expr(_in_bitmap(bits, "a") + " OR " + _in_bitmap(bits, "b")))
+
+
 def _short_places(words: str, said: str, h: int) -> str:
     """SQL for the windows of one short template: every place where its words stand."""
     n = said.count(" ") + 1
@@ -180,9 +198,7 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
     # a window is (place, its two shingles); at the end of a text the last may have one
     pairs = "CASE WHEN size(s) > 0 THEN transform(sequence(0, size(s) - 1, 2), i -> struct(i AS at, s[i] AS a, CASE WHEN i + 1 < size(s) THEN s[i + 1] ELSE s[i] END AS b)) ELSE array() END"
     windows = hashed.select("_uid", "doc_id", F.explode(F.concat(F.expr(pairs).cast("array<struct<at:int,a:bigint,b:bigint>>"), "short")).alias("x")).select("_uid", "doc_id", "x.at", "x.a", "x.b")
-    bits = _bitmap(hashes) if len(hashes) <= MOST_TEMPLATE_SHINGLES else None
-    hit = F.lit(True) if bits is None else F.expr(" OR ".join(f"(shiftright({bits}[CAST(shiftright({h} & {BITMAP - 1}, 6) AS INT)], CAST({h} & 63 AS INT)) & 1) = 1" for h in ("a", "b")))
-    banded = windows.filter(hit).select("_uid", "doc_id", "at", "a", "b", F.explode(bands).alias("x")).select("_uid", "doc_id", "at", "a", "b", "x.band", "x.value")
+    banded = _suspected(windows, hashes).select("_uid", "doc_id", "at", "a", "b", F.explode(bands).alias("x")).select("_uid", "doc_id", "at", "a", "b", "x.band", "x.value")
     retrieved = banded.join(counted(wanted), ["band", "value"]).select("_uid", "doc_id", "at", "a", "b", "template_id").distinct()
     held = F.explode(F.array(F.struct(F.col("at").alias("at"), F.col("a").alias("h")), F.struct((F.col("at") + F.when(F.col("a") == F.col("b"), 0).otherwise(1)).alias("at"), F.col("b").alias("h"))))
     found = retrieved.select("_uid", "doc_id", "template_id", held.alias("x")).select("_uid", "doc_id", "template_id", "x.at", "x.h")
