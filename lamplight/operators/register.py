@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +48,8 @@ def overruns(terms: DataFrame, key: str) -> DataFrame:
 ITALIC = regex.compile(r"(?<!\*)\*([A-Za-z][A-Za-z0-9']*)\*(?:-([A-Za-z][A-Za-z0-9']*))?")
 HYPHENED = regex.compile(r"\b([A-Za-z]+(?:-[A-Za-z]+)+)\b")
 GLOSSES = [r"T\s*[\(\[][^)\]]{1,80}[\)\]]", r"[\(\[][^)\]]{1,80}[\)\]]\s*T", r"\b(?:was|were|is|are)\s+called\s+T", r"\bknown\s+as\s+T", r"\bnamed\s+T", r"T\s+means?\b", r"\bmeans?\s+T"]
+#: What a gloss of each kind cannot be without; patterns of a term are only made where the sentences have it.
+SIGNS = [regex.compile(s, regex.I) for s in [*[r"[\(\[][^)\]]{1,80}[\)\]]"] * 2, r"\b(?:was|were|is|are)\s+called\s", r"\bknown\s+as\s", r"\bnamed\s", r"\smeans?\b", r"\bmeans?\s"]]
 CAP = 15
 
 
@@ -57,15 +60,25 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(starts, ends, strict=True) if e > s] if text.strip() else []
 
 
+def untaught(found: list[tuple[int, str, str]], text: str) -> list[tuple[int, str, str]]:
+    """the (place, term, key) to which no gloss is tied within two sentences of their place."""
+    spans, signs, left = sentence_spans(text), {}, []
+    ends = [e for _, e in spans]
+    for at, term, key in found:
+        here = min(bisect.bisect_right(ends, at), len(spans) - 1)
+        if here not in signs:
+            near = text[spans[max(0, here - 2)][0] : spans[min(len(spans) - 1, here + 2)][1]] if spans else ""
+            signs[here] = near, [g for g, sign in zip(GLOSSES, SIGNS, strict=True) if sign.search(near)]
+        near, glosses = signs[here]
+        own = rf"(?<!\w)\*?{regex.escape(term)}\*?(?!\w)"
+        if not any(regex.search(g.replace("T", own, 1), near, regex.I) for g in glosses):
+            left.append((at, term, key))
+    return left
+
+
 def taught(term: str, text: str, at: int) -> bool:
     """whether a gloss is tied to the term within two sentences of its place."""
-    spans = sentence_spans(text)
-    here = next((i for i, (_, e) in enumerate(spans) if at < e), len(spans) - 1)
-    if here < 0:
-        return False
-    near = text[spans[max(0, here - 2)][0] : spans[min(len(spans) - 1, here + 2)][1]]
-    own = rf"(?<!\w)\*?{regex.escape(term)}\*?(?!\w)"
-    return any(regex.search(g.replace("T", own, 1), near, regex.I) for g in GLOSSES)
+    return not untaught([(at, term, term)], text)
 
 
 def candidates(text: str) -> list[tuple[int, str, str]]:
@@ -88,7 +101,7 @@ def _register(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for book, number, text in zip(b["manuscript"], b["chapter_number"], b["opening"], strict=True):
-            left = [(at, term, key) for at, term, key in candidates(text) if not taught(term, text, at)]
+            left = untaught(candidates(text), text)
             over = len(left) - BUDGET
             if over > 0:
                 rows.append((book, number, "initiation_budget", "high" if over >= 2 else "moderate", None, len(left), quote_around(left[0][1], text), f"initiation_budget:{number}"))

@@ -15,17 +15,36 @@ from lamplight.functions import scalars as S
 WORDS, PHRASES, PATTERNS, PLACES, CAP, CRAFT_CAP, LEAST_KEY = 50, 40, 20, 8, 40, 25, 5
 
 
+_WORD = regex.compile(r"\w")
+
+
+def first_whole(term: str, text: str) -> tuple[int, int] | None:
+    """Start and end of the first place where a term stands as whole words, without regard to case. A pattern is only made
+    for what plain search may not know: terms beyond ASCII, and texts whose lower case does not match letter by letter."""
+    low = text.lower()
+    if not term.isascii() or len(low) != len(text) or "ſ" in text:
+        m = regex.search(rf"(?<!\w){regex.escape(term)}(?!\w)", text, regex.I)
+        return m and m.span()
+    said, at = term.lower(), -1
+    while (at := low.find(said, at + 1)) >= 0:
+        end = at + len(said)
+        if not (at and _WORD.match(text, at - 1)) and not _WORD.match(text, end):
+            return at, end
+    return None
+
+
 def quote_around(term: str | None, text: str | None, most: int = 160) -> str | None:
     """the sentence around the first place where a term stands as whole words, without regard to case; of a long one
     `most` characters, a third of them before the term."""
-    m = regex.search(rf"(?<!\w){regex.escape(term)}(?!\w)", text, regex.I) if term and text else None
-    if not m:
+    found = first_whole(term, text) if term and text else None
+    if not found:
         return None
-    start = text.rfind(".", 0, m.start()) + 1
-    stops = [i for i in (text.find(c, m.end()) for c in ".!?") if i >= 0]
-    quote = text[start : min(stops) + 1 if stops else m.end() + 80].strip()
+    first, last = found
+    start = text.rfind(".", 0, first) + 1
+    stops = [i for i in (text.find(c, last) for c in ".!?") if i >= 0]
+    quote = text[start : min(stops) + 1 if stops else last + 80].strip()
     if len(quote) > most:
-        left = max(0, m.start() - start - most // 3)
+        left = max(0, first - start - most // 3)
         quote = quote[left : left + most].strip()
     return quote or None
 
