@@ -51,9 +51,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded, the text of these ids."""
     del spark, sf_dir
-    return bpe.bpe_encode(docs, word_bpe_path(), decoded=False)
+    return bpe.bpe_encode(docs, word_bpe_path())
 
 
 STAGES = [
