@@ -33,11 +33,8 @@ register("N02_prepared_texts", lambda s, d: texts(s, d).filter("chapter_number I
 
 
 def whole_quotes(s, d):
-    """J18, exact tier, every pair: candidates by a run of the quote's own words, then confirmed."""
-    asked = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), S.normalized_quote(F.col("text")).alias("nq"))
-    docs = table(s, d, "documents").select("doc_id", "text")
-    pairs = Q.holding(asked.filter("nq <> ''"), docs.select("doc_id", S.normalized_quote(F.col("text")).alias("norm")), "doc_id")
-    return pairs.join(asked, "quote_id").join(docs, "doc_id").filter(F.contains("text", "quote")).select("doc_id", F.col("quote_id").alias("item_id"), F.position("quote", "text").alias("at"))
+    """J18, exact tier, every pair."""
+    return Q.whole(table(s, d, "benchmark"), table(s, d, "documents"), "item_id", "doc_id").select("doc_id", "item_id", "at")
 
 
 register("J18_exact_quotes", whole_quotes, "SELECT doc_id, item_id, CAST(strpos(d.text, b.text) AS INTEGER) AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
