@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamplight.functions import lexicons as L
 from lamplight.functions.likeness import Texts
+from lamplight.functions.scratch import cut
 
 
 def terms(texts: DataFrame, keys: list[str], content: str = "content", stop: list[str] | None = None) -> DataFrame:
@@ -34,10 +39,13 @@ def tfidf(terms_: DataFrame, book: str, chapter: str, top_terms: int = 5000) ->
     """Book, term, tfidf (mean over the book's chapters of the L2-normalised weights), total. The vocabulary is
     the book's top_terms terms by count; inverse document frequencies are smoothed."""
     counts = terms_.groupBy(book, chapter, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _weighed(counts, terms_.groupBy(book).agg(F.countDistinct(chapter).alias("chapters")), book, chapter, top_terms)
+
+
+def _weighed(counts: DataFrame, chapters: DataFrame, book: str, chapter: str, top_terms: int) -> DataFrame:
     totals = counts.groupBy(book, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy(book).orderBy(F.desc("total"), "term")
     vocabulary = totals.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top_terms).drop("_n")
-    chapters = terms_.groupBy(book).agg(F.countDistinct(chapter).alias("chapters"))
     weighted = counts.join(vocabulary, [book, "term"]).join(F.broadcast(chapters), book)
     weighted = weighted.withColumn("w", F.col("tf") * (F.log((1 + F.col("chapters")) / (1 + F.col("df"))) + 1))
     norms = weighted.groupBy(book, chapter).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -45,6 +53,122 @@ def tfidf(terms_: DataFrame, book: str, chapter: str, top_terms: int = 5000) ->
     return scaled.groupBy(book, "term").agg(F.round(F.sum(F.col("w") / F.col("norm")) / F.first("chapters"), 6).alias("tfidf"), F.first("total").alias("total"))
 
 
+#: N-grams that a worker counts before it sends their counts on, and n-grams that all workers may be told of.
+RUN_GRAMS, TOLD = 2_000_000, 4_000_000
+_TERM = re.compile(r"(?<!\w)[a-z]{2,}(?!\w)")
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+class Grams:
+    """The kept terms of a text and 64-bit hashes of its n-grams."""
+
+    def __init__(self, stop: list[str], widths: tuple[int, ...]) -> None:
+        self.stop, self.widths, self.memo = frozenset(stop), widths, {}
+
+    def _hash(self, term: str) -> int:
+        if len(self.memo) > 200_000:
+            self.memo.clear()
+        found = self.memo[term] = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
+        return found
+
+    def read(self, text: str | None) -> tuple[list[str], list[np.ndarray]]:
+        """Terms, and for each width the hashes of the n-grams by their first term."""
+        kept = [t for t in _TERM.findall((text or "").lower()) if t not in self.stop]
+        known = self.memo.get
+        h = np.array([self._hash(t) if (x := known(t)) is None else x for t in kept], np.uint64)
+        out = []
+        for n in self.widths:
+            x = np.full(max(0, len(h) - n + 1), n, np.uint64)
+            for k in range(n):
+                x = (x ^ (x >> np.uint64(31))) * _ODD[k % 4] + h[k : k + len(x)]
+            x = (x ^ (x >> np.uint64(29))) * _ODD[3]
+            out.append(x ^ (x >> np.uint64(32)))
+        return kept, out
+
+
+def gram_tfidf(texts: DataFrame, book: str, chapter: str, content: str = "content", widths: tuple[int, ...] = (2, 3), top_terms: int = 5000, stop: list[str] | None = None) -> DataFrame:
+    """tfidf() of the n-grams of texts, one row for each chapter, where only what may be among a book's top_terms is
+    spelled out. First all n-grams are counted by their 64-bit hashes, in packed runs, so that each book's least count that
+    matters is known; then the n-grams that reach it, ties and all, are counted as words. Books with fewer repeated n-grams
+    than that, and all books where the n-grams to tell of are too many, have every n-gram counted as words."""
+    stop = L.REPORT_STOP_WORDS if stop is None else stop
+    kind = texts.schema[book].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held, size = Grams(stop, widths), {}, 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                edges = np.searchsorted(h >> np.uint64(56), np.arange(257, dtype=np.uint64))
+                rows = [(s, h[i:j].tobytes(), n[i:j].astype(np.int64).tobytes()) for s, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
+                if rows:
+                    s, a, b = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(s), names), pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["book", "slot", "h", "n"])
+
+        names = pa.string()
+        for batch in batches:
+            names = batch.schema.field(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for x in grams.read(text.as_py())[1]:
+                    held.setdefault(name, []).append(x)
+                    size += len(x)
+                if size >= RUN_GRAMS:
+                    yield from send()
+                    held, size = {}, 0
+        yield from send()
+
+    def merge(table: pa.Table) -> pa.Table:
+        """Of a book's slot the repeated hashes, one row for each count, as far as they may be among the first."""
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in table["n"].to_pylist()])
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, n = h[first], np.add.reduceat(n, first)
+        least = 2 if len(n) <= top_terms else max(2, int(np.partition(n, -top_terms)[-top_terms]))
+        values = np.unique(n[n >= least]).tolist()
+        each = [h[n == v] for v in values]
+        name = table["book"].slice(0, 1).to_pylist() * len(values)
+        return pa.table([pa.array(name, table["book"].type), pa.array(values, pa.int64()), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], ["book", "n", "grams", "h"])
+
+    packed = texts.select(F.col(book).alias("book"), content).mapInArrow(count, f"book {kind}, slot int, h binary, n binary")
+    repeated = cut(packed.groupBy("book", "slot").applyInArrow(merge, f"book {kind}, n long, grams long, h binary"))
+    sums = repeated.groupBy("book", "n").agg(F.sum("grams").alias("grams")).withColumn("upto", F.sum("grams").over(Window.partitionBy("book").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
+    least = sums.filter(F.col("upto") >= top_terms).groupBy(F.col("book").alias("_book")).agg(F.max("n").alias("_least"), F.min("upto").alias("_grams"))
+    told: dict = {}
+    if (least.agg(F.sum("_grams")).first()[0] or 0) <= TOLD:
+        for r in repeated.join(least, F.col("book").eqNullSafe(F.col("_book")) & (F.col("n") >= F.col("_least"))).select("book", "h").toLocalIterator():
+            told.setdefault(r["book"], []).append(np.frombuffer(bytes(r["h"]), np.uint64))
+    told = {name: np.sort(np.concatenate(parts)) for name, parts in told.items()}
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(stop, widths)
+        for batch in batches:
+            at, said, tf = [], [], []
+            send = lambda: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(said, pa.string()), pa.array(tf, pa.int64())], [book, chapter, "term", "tf"])  # noqa: E731, B023
+            for i, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                kept, hashes = grams.read(text.as_py())
+                mine, found = told.get(name), Counter()
+                for n, x in zip(widths, hashes, strict=True):
+                    places = range(len(x)) if mine is None else np.flatnonzero(mine[np.minimum(np.searchsorted(mine, x), len(mine) - 1)] == x).tolist()
+                    found.update(" ".join(kept[j : j + n]) for j in places)
+                if any(len(x) for x in hashes):  # a chapter with n-grams, whether or not they matter
+                    found[None] = 0
+                at += [i] * len(found)
+                said += found.keys()
+                tf += found.values()
+                if len(at) >= 50_000:
+                    yield send()
+                    at, said, tf = [], [], []
+            yield send()
+
+    other = texts.schema[chapter].dataType.simpleString()
+    rows = cut(texts.select(book, chapter, content).mapInArrow(spell, f"`{book}` {kind}, `{chapter}` {other}, term string, tf long"))
+    chapters = rows.filter("term IS NULL").groupBy(book).agg(F.countDistinct(chapter).alias("chapters"))
+    return _weighed(rows.filter("term IS NOT NULL"), chapters, book, chapter, top_terms)
+
+
 def top(rows: DataFrame, book: str, n: int = 50) -> DataFrame:
     """The n best terms of a book, ties by term."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(book).orderBy(F.desc("tfidf"), "term"))).filter(F.col("rank") <= n)

@@ -30,6 +30,12 @@ def _terms(s, d):
     return R.terms(chapters(s, d), KEY)
 
 
+def _phrases(s, d):
+    """A chapter is a document, so its id stands for its number."""
+    docs = table(s, d, "documents").select(F.col("source").alias("manuscript"), "doc_id", F.col("text").alias("content"))
+    return R.gram_tfidf(docs, "manuscript", "doc_id").filter("total >= 3")
+
+
 register("A01_word_tfidf", lambda s, d: R.tfidf(_terms(s, d), *KEY), f"WITH {TERMS}, {_tfidf('tm')} SELECT * FROM tfidf")
 register(
     "O01_top_words",
@@ -45,12 +51,12 @@ register(
 )
 register(
     "A03_phrase_frequency",
-    lambda s, d: R.tfidf(R.ngrams(_terms(s, d), KEY), *KEY).filter("total >= 3").withColumn("score", F.round(F.col("total") * F.col("tfidf") + 1e-9, 4)).select("manuscript", "term", "total", "score"),
+    lambda s, d: _phrases(s, d).withColumn("score", F.round(F.col("total") * F.col("tfidf") + 1e-9, 4)).select("manuscript", "term", "total", "score"),
     f"WITH {TERMS}, {_NG}, {_tfidf('ng')} SELECT manuscript, term, total, round(total * tfidf + 1e-9, 4) AS score FROM tfidf WHERE total >= 3",
 )
 register(
     "O02_top_phrases",
-    lambda s, d: R.top(R.tfidf(R.ngrams(_terms(s, d), KEY), *KEY).filter("total >= 3"), "manuscript", 20).select("manuscript", "rank", "term"),
+    lambda s, d: R.top(_phrases(s, d), "manuscript", 20).select("manuscript", "rank", "term"),
     f"WITH {TERMS}, {_NG}, {_tfidf('ng')}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY manuscript ORDER BY tfidf DESC, term) AS INTEGER) AS rank FROM tfidf WHERE total >= 3) SELECT manuscript, rank, term FROM r WHERE rank <= 20",
 )
 register(
