@@ -5,49 +5,66 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamplight.functions import lexicons as L
+from lamplight.functions.scratch import cut
 from lamplight.operators import register as coined
 from lamplight.operators import repetition as R
 from lamplight.operators import reports as RP
 from lamplight.operators import thrash, voice
 from lamplight.plans.registry import register
-from lamplight.plans.scalar_queries import sentences
-from lamplight.plans.views import chapters, dialogue, table
+from lamplight.plans.views import chapter_numbers, chapters, dialogue, table
 
 KEY = ["manuscript", "chapter_number"]
 
 
-def _held(s, d, grams):
-    """manuscript, term, score, count, chapters of a book's terms."""
-    return R.tfidf(grams, *KEY).join(grams.groupBy("manuscript", "term").agg(F.array_sort(F.collect_set("chapter_number")).alias("chapters")), ["manuscript", "term"]).select("manuscript", "term", F.col("tfidf").alias("score"), F.col("total").alias("count"), "chapters")
+def books(s, d):
+    """manuscript, doc_id, content: the chapters by their ids, which stand in the order of their numbers."""
+    return table(s, d, "documents").select(F.col("source").alias("manuscript"), "doc_id", F.col("text").alias("content")).filter("doc_id IS NOT NULL")
 
 
-def _patterns(s, d):
-    said = sentences(table(s, d, "documents")).join(chapters(s, d).select(*KEY, "doc_id"), "doc_id")
-    text = said.select("doc_id", "pos", "sentence")
-    near = R.band_pairs(text, "doc_id", examples=True)
-    place = chapters(s, d).select(*KEY, "doc_id")
-    return RP.patterns(R.openings(text, "doc_id").join(place, "doc_id"), near.select("doc_id", "similarity", F.array("a", "b").alias("examples")).join(place, "doc_id"), R.monotony(text, "doc_id").join(place, "doc_id"))
+def _patterns(s, d, best=None):
+    return RP.told_patterns(R.sentence_patterns(books(s, d), ["manuscript", "doc_id"], best=best))
+
+
+def _held(s, d, scored, counts, cap):
+    """The cap best of manuscript, term, score, count, with the chapters that count them."""
+    best = cut(RP.first_rows(scored, "manuscript", [F.desc("score"), "term"], cap).select("manuscript", "term", "score", "count"))
+    held = counts.join(best.select("manuscript", "term"), ["manuscript", "term"]).select("manuscript", "term", "doc_id")
+    numbered = held.join(chapter_numbers(s, d).select("doc_id", "chapter_number"), "doc_id")
+    return best.join(numbered.groupBy("manuscript", "term").agg(F.array_sort(F.collect_set("chapter_number")).alias("chapters")), ["manuscript", "term"])
 
 
 def rows(s, d):
-    terms = R.terms(chapters(s, d), KEY)
-    phrases = _held(s, d, R.ngrams(terms, KEY)).filter("count >= 3").withColumn("score", F.col("count") * F.col("score"))
-    return RP.report(_held(s, d, terms), phrases, _patterns(s, d))
+    texts, key = books(s, d), ["manuscript", "doc_id"]
+    counts, grams = R.word_counts(texts, *key), R.gram_counts(texts, *key)
+    of_books = grams.filter("term IS NULL").groupBy("manuscript").agg(F.countDistinct("doc_id").alias("chapters"))
+    grams = grams.filter("term IS NOT NULL")
+    words = R.word_tfidf(counts, *key).select("manuscript", "term", F.col("tfidf").alias("score"), F.col("total").alias("count"))
+    phrases = R.weighed(grams, of_books, *key).filter("total >= 3").select("manuscript", "term", (F.col("total") * F.col("tfidf")).alias("score"), F.col("total").alias("count"))
+    words, phrases = _held(s, d, words, R.each_count(counts, *key), RP.WORDS), _held(s, d, phrases, grams, RP.PHRASES)
+    found = cut(RP.first_rows(_patterns(s, d, RP.PATTERNS), "manuscript", RP.pattern_order("doc_id"), RP.PATTERNS).drop("rank"))
+    return cut(RP.report(words, phrases, found.join(chapter_numbers(s, d).select("doc_id", "chapter_number"), "doc_id")))
 
 
 register("N08_sentence_patterns", lambda s, d: _patterns(s, d).groupBy("manuscript", "pattern_type").agg(F.count(F.lit(1)).alias("n")))
 register("Q01_repetition_report", rows)
-register("Q02_repetition_export", lambda s, d: RP.export(rows(s, d), chapters(s, d)).select("manuscript", "rank", "kind", "phrase", "count", "scope", "severity", "quote", "normalized_key"))
+register("Q02_repetition_export", lambda s, d: RP.export(rows(s, d), books(s, d)).select("manuscript", "rank", "kind", "phrase", "count", "scope", "severity", "quote", "normalized_key"))
 
 
 def tags(s, d):
-    found = R.attribution(chapters(s, d).withColumn("k", F.concat_ws("|", *KEY)), "k", s.createDataFrame(L.speech_forms(), "form string, counted string"))
-    return found.select(F.split_part("k", F.lit("|"), F.lit(1)).alias("manuscript"), F.split_part("k", F.lit("|"), F.lit(2)).cast("int").alias("chapter_number"), "tag", "count").groupBy("manuscript", "tag").agg(F.sum("count").alias("count"), F.array_sort(F.collect_set("chapter_number")).alias("chapters"))
+    """manuscript, tag, count, chapters: counted by text, then numbered."""
+    found = R.attribution(table(s, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id", s.createDataFrame(L.speech_forms(), "form string, counted string"))
+    return found.join(chapter_numbers(s, d), "doc_id").groupBy("manuscript", "tag").agg(F.sum("count").alias("count"), F.array_sort(F.collect_set("chapter_number")).alias("chapters"))
+
+
+def only(s, d, number):
+    """chapters() of one number; the others' texts go nowhere."""
+    asked = chapter_numbers(s, d).filter(F.col("chapter_number") == number)
+    return books(s, d).drop("manuscript").join(F.broadcast(asked), "doc_id")
 
 
-register("Q03_companion_repetition", lambda s, d: RP.companion(rows(s, d), tags(s, d), chapters(s, d), 3).select("manuscript", "rank", "kind", "phrase", "count", "focus_count", "scope", "severity", "quote"))
+register("Q03_companion_repetition", lambda s, d: RP.companion(rows(s, d), tags(s, d), only(s, d, 3), 3).select("manuscript", "rank", "kind", "phrase", "count", "focus_count", "scope", "severity", "quote"))
 register("W09_craft_window", lambda s, d: RP.craft_window(chapters(s, d), 7).select(*KEY), "SELECT * FROM (SELECT source AS manuscript, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS chapter_number FROM documents) WHERE chapter_number BETWEEN 2 AND 7")
-register("O13_fallback_rows", lambda s, d: RP.fallback(rows(s, d), chapters(s, d)).select("manuscript", "rank", "kind", "phrase", "quote"))
+register("O13_fallback_rows", lambda s, d: RP.fallback(rows(s, d), books(s, d)).select("manuscript", "rank", "kind", "phrase", "quote"))
 
 
 def machine(s, d):
